@@ -1,13 +1,14 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences; only documents have labels. A sentence's probability is the sigmoid of a bias
-and the weights of its distinct words; a document's is the noisy-or of its sentences: 1 - prod(1 - p). The
+and the weights of its distinct words, each that of the word itself and of its beginnings; a document's is the noisy-or of its sentences: 1 - prod(1 - p). The
 gradient of the documents' likelihood reaches the sentences through the noisy-or, so those that explain a label
 take it on, and after training a sentence's own probability locates what offends.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -22,8 +23,12 @@ from .common import materialize
 
 SENTENCE = re.compile(rb"[^.!?\n]+")
 WORD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-#: Labelled documents that training takes at most, about (chosen by a hash of the id), and words with a weight at most.
-SAMPLE, WORDS = 20_000, 4_000
+#: Lengths, in bytes, of the beginnings of words that are features beside the words.
+BEGINNINGS = (4, 5, 6, 7, 8, 9)
+#: Words whose weights a model remembers at most before it forgets them all.
+REMEMBERED = 500_000
+#: Labelled documents that training takes at most, about (chosen by a hash of the id), and features with a weight at most.
+SAMPLE, WORDS = 20_000, 6_000
 
 
 def sentences(text: str | None) -> list[tuple[int, int, set[bytes]]]:
@@ -32,31 +37,55 @@ def sentences(text: str | None) -> list[tuple[int, int, set[bytes]]]:
     return [(m.start(), m.end(), words) for m in SENTENCE.finditer(data) if (words := set(m[0].translate(WORD).split()))]
 
 
+def features(word: bytes) -> list[bytes]:
+    """The word, and its beginnings (marked by a leading space, which no word has)."""
+    return [word, *(b" " + word[:k] for k in BEGINNINGS if len(word) >= k)]
+
+
+class Weights(dict):
+    """word -> its weight, computed when first asked for."""
+
+    def __init__(self, of: dict[bytes, float]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = total = sum([self.of.get(f, 0.0) for f in features(word)])
+        return total
+
+
 @dataclass
 class Model:
     bias: float
-    weights: dict[bytes, float]
+    weights: dict[bytes, float]  # of features
 
-    def score(self, text: str | None, at_least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's probability, and the sentences (byte offsets, probability) that offend.
+    def scorer(self):
+        """text -> the document's probability, and the sentences (byte offsets, probability) that offend.
 
         A text without words has no sentence that could offend: 0.
         """
-        get, known, bias = self.weights.get, self.weights.keys(), self.bias
-        total, plain, found = 0.0, 0, []
-        for a, b, words in sentences(text):
-            if known.isdisjoint(words):
-                plain += 1
-                continue
-            z = bias + sum([get(w, 0.0) for w in words])
-            total += max(z, 0.0) + np.log1p(np.exp(-abs(z)))
-            if (p := 1 / (1 + np.exp(-z))) >= at_least:
-                found.append((a, b, float(p)))
-        return float(-np.expm1(-total - plain * np.log1p(np.exp(bias)))), found
+        weight, bias = Weights(self.weights).__getitem__, self.bias
+        of_plain = math.log1p(math.exp(bias))
+
+        def score(text: str | None, at_least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
+            total, found = 0.0, []
+            for a, b, words in sentences(text):
+                if extra := sum(map(weight, words)):
+                    z = bias + extra
+                    total += max(z, 0.0) + math.log1p(math.exp(-abs(z)))
+                    if z > -700 and (p := 1 / (1 + math.exp(-z))) >= at_least:
+                        found.append((a, b, p))
+                else:
+                    total += of_plain
+            return -math.expm1(-total), found
+
+        return score
 
 
 def _word_counts(batches):
-    """(word, n1, n0): documents with the word, by label."""
+    """(word, n1, n0): documents with the feature, by label."""
     n = {0: Counter(), 1: Counter()}
 
     def passed():
@@ -66,7 +95,8 @@ def _word_counts(batches):
 
     for batch in batches:
         for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
-            n[y].update(set(text.encode("utf-8", "surrogatepass").translate(WORD).split()))
+            words = set(text.encode("utf-8", "surrogatepass").translate(WORD).split())
+            n[y].update({f for w in words for f in features(w)})
         if len(n[0]) + len(n[1]) > 300_000:
             yield from passed()
     yield from passed()
@@ -77,7 +107,7 @@ def _bags(known: dict[bytes, int]):
         for batch in batches:
             plain, bag = [], []
             for text in batch.column("text").to_pylist():
-                got = [sorted(known[w] for w in known.keys() & words) for _, _, words in sentences(text)]
+                got = [[known[f] for w in words for f in features(w) if f in known] for _, _, words in sentences(text)]
                 plain.append(sum(not x for x in got))
                 bag.append([x for x in got if x])
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(plain, pa.int64()), pa.array(bag, pa.list_(pa.list_(pa.int32())))], ["y", "plain", "bag"])
@@ -144,8 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _score(shared):
     def score(batches):
+        of = shared.value.scorer()
         for batch in batches:
-            got = [shared.value.score(t) for t in batch.column("text").to_pylist()]
+            got = [of(t) for t in batch.column("text").to_pylist()]
             spans = pa.array([[{"start": a, "end": b, "score": p} for a, b, p in x] for _, x in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p for p, _ in got], pa.float64()), spans], ["id", "score", "offending"])
 
