@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, packing, simhash
+from . import ctw, decontaminate, exact_dedup, langid, packing, simhash, toxicity
 from .common import in_fold, read_table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -18,6 +18,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log10 probability under context-tree weighting and under a unigram base."""
+    return ctw.score_corpus(read_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary())
@@ -68,6 +73,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity under a model of two of three folds."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = in_fold(F.col("doc_id"), 3, 1)
+    model = toxicity.train(docs.where(~out), read_table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the one that stays of its equals."""
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
@@ -81,7 +94,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_benchmark_decontamination, op6_simhash_near_dedup, op7_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op4_benchmark_decontamination, op6_simhash_near_dedup, op7_language_id, op9_toxicity, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
