@@ -143,3 +143,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return src.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", rejected: str = "und") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all their columns: those that ``identify`` calls ``und`` go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.predict(t)[0] != rejected for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, exact_dedup, langid, linededup, packing, simhash, toxicity, warc
+from . import ctw, decontaminate, exact_dedup, langid, linededup, packing, simhash, substrings, toxicity, warc
 from .common import in_fold, read_table
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -91,6 +91,11 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that near-duplicate an earlier passage of the corpus, with their sources."""
+    return substrings.substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint and the component of its near-duplicates."""
     done = simhash.simhash(read_table(spark, sf_dir, "documents"))
@@ -144,7 +149,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_line_dedup, op4_benchmark_decontamination, op6_simhash_near_dedup, op7_language_id, op8_warc, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_line_dedup, op4_benchmark_decontamination, op5_substring_dedup, op6_simhash_near_dedup, op7_language_id, op8_warc, op9_toxicity, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
