@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import GAP_TIE, K_MAX, K_MIN, LIFT_LINES, LIFT_SIBLINGS, MASS, RANK_CAP, VIA_LEAST
+from ..schemas import GAP_TIE, K_MAX, K_MIN, LIFT_LINES, LIFT_SIBLINGS, MASS, RANK_CAP, RANK_DIGITS, VIA_LEAST
 
 
-def scaled_union(parts: DataFrame, weights: DataFrame, raw_ops: tuple[str, ...] = ("text",), qid: str = "qid") -> DataFrame:
+def scaled_union(parts: DataFrame, weights: DataFrame, raw_ops: tuple[str, ...] = ("text",), qid: str = "qid", details: DataFrame | None = None) -> DataFrame:
     """(qid, doc, score, via) of parts(qid, op, doc, score) and the plan's weights(qid, op, weight).
 
     An operator that is a query's only one and gives bits counts as it is; any other is scaled by its largest
-    score, and left out where that is not above 0. via lists contributions of 0.005 or more.
+    score, and left out where that is not above 0. via lists contributions of 0.005 or more; those of an operator with
+    ``details`` (qid, op, part, doc, score) are listed by part.
     """
     alone = weights.withColumn("alone", (F.count(F.lit(1)).over(Window.partitionBy(qid)) == 1) & F.col("op").isin(*raw_ops))
     top = parts.groupBy(qid, "op").agg(F.max("score").alias("top"))
     scale = alone.join(top, [qid, "op"]).select(qid, "op", F.when(F.col("alone"), F.col("weight")).when(F.col("top") > 0, F.col("weight") / F.col("top")).alias("scale")).where("scale is not null")
-    given = parts.join(scale, [qid, "op"]).withColumn("c", F.col("score") * F.col("scale"))
-    via = F.array_sort(F.collect_list(F.when(F.col("c") >= VIA_LEAST, F.struct("op", F.col("c").alias("contribution")))))
-    return given.groupBy(qid, "doc").agg(F.sum("c").alias("score"), via.alias("via"))
+    given = parts.select(qid, "op", "doc", "score", F.lit(None).cast("string").alias("part"))
+    if details is not None:
+        given = given.unionByName(details.select(qid, "op", "doc", "score", "part"))
+    c = given.join(scale, [qid, "op"]).withColumn("c", F.col("score") * F.col("scale"))
+    detailed = F.lit(False) if details is None else F.col("op").isin(*[r.op for r in details.select("op").distinct().collect()])  # operators: a handful
+    listed = (F.col("c") >= VIA_LEAST) & (F.col("part").isNotNull() | ~detailed)
+    via = F.array_sort(F.collect_list(F.when(listed, F.struct(F.coalesce("part", "op").alias("op"), F.col("c").alias("contribution")))))
+    out = c.groupBy(qid, "doc").agg(F.sum(F.when(F.col("part").isNull(), F.col("c"))).alias("score"), via.alias("via"))
+    return out.where("score is not null")
 
 
 def ranked(scores: DataFrame, cap: int = RANK_CAP, qid: str = "qid") -> DataFrame:
     """The best ``cap`` of each query, ties by id, with their rank from 1."""
-    w = Window.partitionBy(qid).orderBy(F.desc("score"), "doc")
+    w = Window.partitionBy(qid).orderBy(F.round("score", RANK_DIGITS).desc(), "doc")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
 
 
@@ -83,4 +90,4 @@ def budget_prefix(hits: DataFrame, budget: int, cost: str = "cost", order: str =
     """The longest head of each list whose cost stays within the budget, one hit at least; it ends at the first overflow."""
     w = Window.partitionBy(qid).orderBy(order)
     run = hits.withColumn("spent", F.sum(cost).over(w)).withColumn("at", F.row_number().over(w))
-    return run.where((F.col("at") == 1) | (F.max(F.col("spent") > budget).over(w) == F.lit(False))).drop("at")
+    return run.withColumn("over", F.max(F.col("spent") > budget).over(w)).where((F.col("at") == 1) | ~F.col("over")).drop("at", "over")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stemmer import add_stems
 from ..functions.text import dph, first_line, tokenize_raw
-from ..schemas import TITLE_BOOST
+from ..schemas import RANK_DIGITS, TITLE_BOOST
 
 
 def term_counts(texts: DataFrame, key: list[str], text: str, stems: bool = True) -> DataFrame:
@@ -60,6 +60,6 @@ def top_k(scores: DataFrame, k: int, score: str = "score", key: str = "doc", by:
     """The best ``k`` per ``by`` (or in all), ties by key; only scores above 0 unless told otherwise."""
     rows = scores.where(F.col(score) > 0) if positive else scores
     if not by:
-        return rows.orderBy(F.desc(score), key).limit(k)
-    w = Window.partitionBy(*by).orderBy(F.desc(score), key)
+        return rows.orderBy(F.round(score, RANK_DIGITS).desc(), key).limit(k)
+    w = Window.partitionBy(*by).orderBy(F.round(score, RANK_DIGITS).desc(), key)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

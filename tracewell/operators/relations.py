@@ -34,7 +34,7 @@ def resolve(definitions: DataFrame, mentions: DataFrame, bridge_cap: int = BRIDG
     return edges.groupBy("src", "dst", "kind").agg(F.min_by("origin", F.struct("line", "origin")).alias("origin"), F.sum(weight).alias("weight"), F.min("line").alias("line"))
 
 
-def tests_field(definitions: DataFrame, mentions: DataFrame, units: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def tests_field(definitions: DataFrame, mentions: DataFrame, units: DataFrame, files: DataFrame, stems: bool = True) -> tuple[DataFrame, DataFrame]:
     """What tests say of a file: (field, term, doc, tf, path) postings and (field, doc, len, path), a row for every file.
 
     A name that a test unit's line uses hands the line's and the test label's terms to the files that define it,
@@ -48,10 +48,11 @@ def tests_field(definitions: DataFrame, mentions: DataFrame, units: DataFrame, f
     leaf = units.where("is_leaf").select(F.col("id").alias("unit_id"), "label", "text", "start_line")
     said = used.join(leaf, "unit_id").select("unit_id", "line", "name", F.concat_ws("\n", F.coalesce(F.get(lines(F.col("text")), F.col("line") - F.col("start_line")), F.lit("")), "label").alias("words"))
     met = said.join(shares, "name").join(definers, "name").where("definer <> unit_id")
-    words = met.select("file", (1.0 / F.col("m")).alias("w"), F.explode(tokenize_raw(F.col("words"))).alias("term"))
-    raw = words.groupBy("file", "term").agg(F.sum("w").alias("tf"))
-    stems = raw.join(stem_vocabulary(raw), "term").select("file", F.col("stem").alias("term"), "tf")
-    tf = raw.unionByName(stems).groupBy("file", "term").agg(F.sum("tf").alias("tf"))
+    pooled = met.groupBy("file", "unit_id", "line", "words").agg(F.sum(1.0 / F.col("m")).alias("w"))  # a line's words are cut once a file
+    tf = pooled.select("file", "w", F.explode(tokenize_raw(F.col("words"))).alias("term")).groupBy("file", "term").agg(F.sum("w").alias("tf"))
+    if stems:
+        extra = tf.join(stem_vocabulary(tf), "term").select("file", F.col("stem").alias("term"), "tf")
+        tf = tf.select("file", "term", "tf").unionByName(extra.select("file", "term", "tf")).groupBy("file", "term").agg(F.sum("tf").alias("tf"))
     postings = tf.select(F.lit("tests").alias("field"), "term", F.col("file").alias("doc"), "tf", F.col("file").alias("path"))
     sizes = tf.groupBy("file").agg(F.sum("tf").alias("len"))
     docs = files.select(F.col("path").alias("file")).join(sizes, "file", "left").select(F.lit("tests").alias("field"), F.col("file").alias("doc"), F.coalesce("len", F.lit(0.0)).alias("len"), F.col("file").alias("path"))
@@ -96,13 +97,14 @@ def hunk_touch(hunks: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFram
     return h.join(leaves, keys).where("start_line <= _b and _a <= end_line").select("commit", *leaves.columns).distinct()
 
 
-def map_leaves(old: DataFrame, units: DataFrame, least: float = JACCARD_LEAST) -> DataFrame:
+def map_leaves(old: DataFrame, units: DataFrame, least: float = JACCARD_LEAST, name: str = "id") -> DataFrame:
     """(old_id, path, id): historical leaves to current units.
 
     Named kinds by their id (a container may stand there now); ordinal kinds by the most similar words within the
-    file, ties to the smaller id. old(id, path, kind, text), units(id, path, kind, is_leaf, label, text).
+    file, ties to the smaller id. old(id, path, kind, label, text), units(id, path, kind, is_leaf, label, text); ``name``
+    is the column with the id that a named leaf had, where id tells versions apart.
     """
-    named = old.where(~F.col("kind").isin(*ORDINAL_KINDS)).select(F.col("id").alias("old_id"), "path", "id").join(units.select("id"), "id", "left_semi")
+    named = old.where(~F.col("kind").isin(*ORDINAL_KINDS)).select(F.col("id").alias("old_id"), "path", F.col(name).alias("_name")).join(units.select(F.col("id").alias("_name")), "_name", "left_semi").select("old_id", "path", F.col("_name").alias("id"))
     words = lambda d: F.array_distinct(tokenize_raw(F.concat_ws("\n", d["label"], d["text"])))
     a = old.where(F.col("kind").isin(*ORDINAL_KINDS)).select(F.col("id").alias("old_id"), "path", "label", "text")
     a = a.select("old_id", "path", words(a).alias("x"), F.xxhash64(F.array_sort(words(a))).alias("finger"))
@@ -115,16 +117,29 @@ def map_leaves(old: DataFrame, units: DataFrame, least: float = JACCARD_LEAST) -
 
 
 def closure(nodes: DataFrame, node: str = "id", parent: str = "parent", max_depth: int = 64) -> DataFrame:
-    """(ancestor, descendant, depth) of a forest, each node with itself at depth 0; a recursive query in the JVM."""
-    spark = nodes.sparkSession
-    nodes.select(F.col(node).cast("string").alias("n"), F.col(parent).cast("string").alias("p")).createOrReplaceTempView("_tree_nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE up(ancestor, descendant, depth) MAX RECURSION LEVEL {max_depth} AS (
-              SELECT n, n, 0 FROM _tree_nodes
-              UNION ALL
-              SELECT t.p, up.descendant, up.depth + 1 FROM up JOIN _tree_nodes t ON up.ancestor = t.n WHERE t.p IS NOT NULL)
-            SELECT up.ancestor, up.descendant, up.depth FROM up LEFT SEMI JOIN _tree_nodes k ON up.ancestor = k.n"""
-    )
+    """(ancestor, descendant, depth) of a forest, each node with itself at depth 0.
+
+    One equi-join a level; trees of units are a handful of levels deep. A parent that is no node ends the chain.
+    """
+    tree = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p"))
+    found = tree.select(F.col("n").alias("ancestor"), F.col("n").alias("descendant"), F.lit(0).alias("depth"))
+    edge = tree.where("p is not null").join(tree.select(F.col("n").alias("p")), "p", "left_semi")
+    edge = cut(edge.select(F.col("n").alias("child"), F.col("p").alias("ancestor")))
+    level = edge.select("ancestor", F.col("child").alias("descendant"))
+    for depth in range(1, max_depth + 1):
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level.withColumn("depth", F.lit(depth)))
+        level = cut(level.select(F.col("ancestor").alias("child"), "descendant").join(edge, "child").select("ancestor", "descendant"))
+    raise ValueError(f"deeper than {max_depth}, or a cycle")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder where the session names one, else ``df`` itself."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    return df
 
 
 def neighbours(edges: DataFrame, anchors: DataFrame, outward: bool = True) -> DataFrame:
@@ -135,14 +150,14 @@ def neighbours(edges: DataFrame, anchors: DataFrame, outward: bool = True) -> Da
     return met.join(inside, ["anchor", "doc"], "left_anti").groupBy("anchor", "doc").agg(F.sum("weight").alias("score"))
 
 
-def near_in_order(units: DataFrame, anchors: DataFrame, by: str, scale: float = 1.0) -> DataFrame:
-    """(anchor, doc, score): 1 / (1 + |distance in order| / scale) of units that share ``by`` with the anchor unit.
+def near_in_order(units: DataFrame, centres: DataFrame, inside: DataFrame, by: str, scale: float = 1.0) -> DataFrame:
+    """(anchor, doc, score): 1 / (1 + |distance in order| / scale) of units that share ``by`` with an anchor's centre.
 
-    units(id, ord, <by>), anchors(anchor, unit): the rows of an anchor are its set; the unit called like it is its centre.
+    units(id, ord, <by>), centres(anchor, ord, <by>); inside(anchor, unit) is left out.
     """
-    centre = anchors.where("anchor = unit").join(units, F.col("unit") == F.col("id")).select("anchor", F.col(by).alias("_by"), F.col("ord").alias("_ord"))
+    centre = centres.select("anchor", F.col(by).alias("_by"), F.col("ord").alias("_ord"))
     met = centre.join(units, F.col("_by") == F.col(by)).select("anchor", F.col("id").alias("doc"), (1.0 / (1.0 + F.abs(F.col("ord") - F.col("_ord")) / scale)).alias("score"))
-    return met.join(anchors.select("anchor", F.col("unit").alias("doc")), ["anchor", "doc"], "left_anti")
+    return met.join(inside.select("anchor", F.col("unit").alias("doc")), ["anchor", "doc"], "left_anti")
 
 
 def islands(rows: DataFrame, by: list[str], order: str, blank: str, size: int) -> DataFrame:

@@ -39,6 +39,8 @@ LIMITS = {"text": TEXT_LIMIT, "refs_in": 50, "refs_out": 50, "tree_near": 30, "s
 WEIGHTS = {"refs_in": 0.8, "refs_out": 0.8, "tree_near": 0.3, "same_file": 0.2, "cochange": 0.5}
 RANK_CAP, TEST_FILES, TESTS_SHOWN = 200, 5, 3
 TITLE_BOOST, VIA_LEAST = 1.5, 0.005
+#: Scores are sums whose last digits depend on the order of rows; ranks compare them to this many decimals.
+RANK_DIGITS = 9
 LIFT_SIBLINGS, LIFT_LINES = 4, 300
 K_MIN, K_MAX, MASS, GAP_TIE = 5, 10, 0.5, 1e-12
 TAU_DAYS, SUPPORT, MAX_SET = 365.0, 2, 40
