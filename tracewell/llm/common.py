@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: What separates words where a contract says [^\x20\x09-\x0D]+ (bytes.split() splits at the same).
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -52,6 +51,12 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that have ended: it does when the driver's JVM collects their garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(base: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has (Spark's names ignore case)."""
     taken = {c.lower() for f in frames for c in f.columns}
@@ -103,12 +108,3 @@ def lower_words(text: str | None) -> list[bytes]:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def two_columns(batches: Iterable, a: str, b: str) -> Iterator[tuple[list, list]]:
-    """Python lists of two columns, batch by batch."""
-    for batch in batches:
-        yield batch.column(a).to_pylist(), batch.column(b).to_pylist()
-
-
-LONG, STR, BOOL, DBL, INT, BIN = T.LongType(), T.StringType(), T.BooleanType(), T.DoubleType(), T.IntegerType(), T.BinaryType()

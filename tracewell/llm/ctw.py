@@ -124,7 +124,7 @@ def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """[context, 256] counts of bytes -> [context, 255] counts of 0 and 1 at each node of the byte's bit tree, root first."""
     zero, one = [], []
     for b in range(8):
-        halves = counts.reshape(len(counts), 1 << b, 2, -1).sum(axis=3)
+        halves = counts.reshape(len(counts), 1 << b, 2, 128 >> b).sum(axis=3)
         zero.append(halves[:, :, 0])
         one.append(halves[:, :, 1])
     return np.concatenate(zero, axis=1), np.concatenate(one, axis=1)

@@ -83,8 +83,8 @@ def _scan(shared):
             rows = [(len(w := words_of(t)), *find(w, index)) for t in batch.column("text").to_pylist()]
             n, a, b, found = map(list, zip(*rows)) if rows else ([],) * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int64())), pa.array([sorted(map(str, x)) for x in found], pa.list_(pa.string()))],
-                ["row", "id", "n_words", "starts", "ends", "items"],
+                [batch.column("row"), batch.column("id"), batch.column("check"), pa.array(n, pa.int64()), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int64())), pa.array([sorted(map(str, x)) for x in found], pa.list_(pa.string()))],
+                ["row", "id", "check", "n_words", "starts", "ends", "items"],
             )
 
     return scan
@@ -102,11 +102,11 @@ def _merged(batches):
                 end = max(end, b)
             hits.append(n)
         items = [sorted(set(r["items"])) for r in rows]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "n_hit", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("check"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string()))], ["id", "check", "n_words", "n_hit", "items"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 8, block: int = BLOCK) -> DataFrame:
-    """One row per document: id, n_words, n_hit, items (ids of the items with occurring windows, as sorted strings).
+    """One row per document: id, n_words, n_hit, items (ids of the items with occurring windows, as sorted strings), check (xxhash64 of the text).
 
     A document word inside any occurrence of a window is hit, once however many windows cover it. Null and
     empty texts have no words. Items without words, or with a null id, have no windows; items repeated with one
@@ -114,7 +114,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     repeated with one id each get a row.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("check", F.xxhash64("text"))
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text")).where("item is not null")
 
     def blocks():
@@ -131,7 +131,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         wanted = frozenset(w for _, window in known for w in window)
         counts = rows.select("text").mapInArrow(_counts(wanted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         rarity = {bytes(r.word): r.n for r in counts.collect()} if known else {}  # at most the words of a block
-        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(post(known, rarity))), "row long, id long, n_words long, starts array<long>, ends array<long>, items array<string>")
+        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(post(known, rarity))), "row long, id long, check long, n_words long, starts array<long>, ends array<long>, items array<string>")
 
     todo = blocks()
     known, more = next(todo), next(todo, None)
@@ -143,14 +143,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for known in chain([more], todo):
             found = found.unionByName(materialize(scan(rows, known).where("size(starts) > 0"), "hits"))
         pool = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  bounded by a row's words and items
-        found = found.groupBy("row").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), pool("starts"), pool("ends"), pool("items"))
-    return found.mapInArrow(_merged, "id long, n_words long, n_hit long, items array<string>").withColumnRenamed("id", id_col)
+        found = found.groupBy("row").agg(F.first("id").alias("id"), F.first("check").alias("check"), F.max("n_words").alias("n_words"), pool("starts"), pool("ends"), pool("items"))
+    return found.mapInArrow(_merged, "id long, check long, n_words long, n_hit long, items array<string>").withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which fewer than ``min_items`` items occur, with all their columns.
 
-    Rows repeated with one id all go if one of them does.
+    Rows repeated with one id and text all stay or all go.
     """
-    gone = decontaminate(docs, benchmark, id_col, text_col).where(F.size("items") >= min_items).select(F.col(id_col).alias(k := fresh("id", docs))).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[k]), "left_anti")
+    done = decontaminate(docs, benchmark, id_col, text_col).where(F.size("items") >= min_items)
+    gone = done.select(F.col(id_col).alias(k := fresh("id", docs)), F.col("check").alias(c := fresh("check", docs))).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[k]) & (F.xxhash64(docs[text_col].cast("string")) == gone[c]), "left_anti")

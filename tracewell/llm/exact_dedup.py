@@ -62,5 +62,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias(k := fresh("id", docs))).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[k]), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias(k := fresh("id", docs)), F.unhex("text_sha256").alias(d := fresh("digest", docs))).distinct()
+    digest = F.unhex(F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary"), 256))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[k]) & (digest == gone[d]), "left_anti")

@@ -27,6 +27,11 @@ HELD = 300_000
 FOLD = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; numbers of any script are none."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def grams(data: bytes) -> np.ndarray:
     """The n-grams of folded bytes that lie within a word with its bounding spaces, as integers."""
     x = np.frombuffer(data, np.uint8).astype(np.uint32)
@@ -92,7 +97,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and a score from 0 to 1: the share of the corrected counts that is the winner's."""
-        if not text or not LETTER.search(text) or not self.langs:
+        if not text or not has_letter(text) or not self.langs:
             return "und", 0.0
         g, counts = np.unique(grams(folded(text)), return_counts=True)
         if not len(g):

@@ -25,6 +25,8 @@ REGIONS, MIN_CHARS = 3, 20
 #: Lines that a task remembers, so as to give the keys of a repeated line once; bits of the filter of candidates.
 SEEN, FILTER_BITS = 400_000, 1 << 26
 SEP = "\x00"
+#: Lines of these alone are blank.
+WHITE = " \t\n\v\f\r"
 
 
 def digest(line: str) -> bytes:
@@ -58,7 +60,7 @@ def _occurrences(min_chars: int):
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 check = text_check(text)
                 for k, line in enumerate(text.split("\n")):
-                    if not line or line.isspace():
+                    if not line.strip(WHITE):
                         continue
                     d = digest(line)
                     keys = []
@@ -94,7 +96,7 @@ def _texts_of(shared):
     def texts(batches):
         bits, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
-            lines = [line for text in batch.column("text").to_pylist() for line in text.split("\n") if line and not line.isspace()]
+            lines = [line for text in batch.column("text").to_pylist() for line in text.split("\n") if line.strip(WHITE)]
             got = []
             if lines:
                 digests = [digest(x) for x in lines]

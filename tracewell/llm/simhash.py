@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import any_leaf, fresh, lower_words, materialize, salted_lookup, two_columns
+from .common import any_leaf, fresh, lower_words, materialize, salted_lookup
 from .components import components
 
 #: Fingerprints in one list at most (two chunks of half of it each, for a larger key).
@@ -49,9 +49,9 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def _fingerprints(batches):
-    for ids, texts in two_columns(batches, "id", "text"):
-        got = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got)], ["id", "fp"])
+    for batch in batches:
+        got = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("check"), pa.array(got)], ["id", "check", "fp"])
 
 
 def near_in_lists(lists: list[np.ndarray], radius: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -171,7 +171,7 @@ def near_links(fps: DataFrame, radius: int = 3, limit: int = LIST) -> DataFrame:
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """One row per input row: id, fp (the fingerprint as a signed long), component_id.
+    """One row per input row: id, fp (the fingerprint as a signed long), component_id, check (xxhash64 of the text).
 
     Fingerprints link at ``radius`` or fewer differing bits; component_id is the least id of all documents
     that can be reached. A null or empty text, or one of white space, has fingerprint zero and links like any
@@ -180,24 +180,24 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     """
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = src.mapInArrow(_fingerprints, "id long, fp long").withColumn("leaf", any_leaf(spark))
+    rows = src.withColumn("check", F.xxhash64("text")).mapInArrow(_fingerprints, "id long, check long, fp long").withColumn("leaf", any_leaf(spark))
     rows = materialize(rows, "fingerprints")  # texts are read once
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     roots = components(near_links(classes, radius), "a", "b")
     whole = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     table = whole.select("fp", "root").join(best, "root").select("fp", "component_id")
-    return salted_lookup(rows, ["fp"], "leaf", table).select(F.col("id").alias(id_col), "fp", "component_id")
+    return salted_lookup(rows, ["fp"], "leaf", table).select(F.col("id").alias(id_col), "fp", "component_id", "check")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the least of their component, with all their columns.
 
-    A component without ids keeps its rows. Rows repeated with one id all stay or all go.
+    A component without ids keeps its rows. Rows repeated with one id and text all stay or all go.
     """
-    gone = simhash(docs, id_col, text_col).where(F.col(id_col).isNull() & F.col("component_id").isNotNull() | (F.col(id_col) != F.col("component_id")))
-    gone = gone.select(F.col(id_col).alias(k := fresh("id", docs))).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[k]), "left_anti")
+    done = simhash(docs, id_col, text_col).where(F.col(id_col).isNull() & F.col("component_id").isNotNull() | (F.col(id_col) != F.col("component_id")))
+    gone = done.select(F.col(id_col).alias(k := fresh("id", docs)), F.col("check").alias(c := fresh("check", docs))).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[k]) & (F.xxhash64(docs[text_col].cast("string")) == gone[c]), "left_anti")
 
 
 def fingerprint_hex(fp: Column) -> Column:
