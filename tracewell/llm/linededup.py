@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import any_leaf, fresh, materialize, salted_lookup
+from .common import any_leaf, discard, fresh, materialize, release, salted_lookup, slices
 
 REGIONS, MIN_CHARS = 3, 20
 #: Lines that a task remembers, so as to give the keys of a repeated line once; bits of the filter of candidates.
-SEEN, FILTER_BITS = 400_000, 1 << 26
+SEEN, FILTER_BITS = 400_000, 1 << 24
 SEP = "\x00"
 #: Lines of these alone are blank.
 WHITE = " \t\n\v\f\r"
@@ -55,7 +55,7 @@ def _occurrences(min_chars: int):
 
     def occurrences(batches):
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in schema]
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 check = text_check(text)
@@ -95,7 +95,7 @@ def _texts_of(shared):
 
     def texts(batches):
         bits, seen = np.frombuffer(shared.value, np.uint8), set()
-        for batch in batches:
+        for batch in slices(batches):
             lines = [line for text in batch.column("text").to_pylist() for line in text.split("\n") if line.strip(WHITE)]
             got = []
             if lines:
@@ -172,13 +172,13 @@ def _variant_rows(lines, hashes, kinds):
 
 def near_lines(occurrences: DataFrame, first: DataFrame, src: DataFrame) -> DataFrame:
     """(line, keep): lines with an earlier one within an edit, and the first place of the earliest such."""
-    from pyspark.sql import Window
-
     spark = src.sparkSession
-    w = Window.partitionBy("key").orderBy("line")
     rows = occurrences.select(F.explode("keys").alias("key"), "line")
-    other = rows.withColumn("a", F.lag("line").over(w)).withColumn("b", F.lead("line").over(w)).where("a <> line or b <> line")
-    wanted = materialize(other.groupBy("line").agg(F.collect_set("key").alias("keys")), "candidates")  # 2 * REGIONS keys at most
+    one = F.xxhash64("line")
+    many = rows.groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("key")  # a key of many lines is combined where they are
+    many = materialize(many, "keys")
+    release(spark)
+    wanted = materialize(rows.join(many, "key").groupBy("line").agg(F.collect_set("key").alias("keys")), "candidates")  # 2 * REGIONS keys at most
     parts = wanted.select("line").coalesce(4).mapInArrow(_partial_filter, "bits binary").collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:
@@ -195,7 +195,11 @@ def near_lines(occurrences: DataFrame, first: DataFrame, src: DataFrame) -> Data
     links = links.where("to is not null and to.place < place").select("line", F.col("to.line").alias("other"), F.col("to.place").alias("keep")).distinct()
     met = links.join(texts.select("line", "text"), "line").join(texts.select(F.col("line").alias("other"), F.col("text").alias("other_text")), "other")
     sure = met.where(F.levenshtein("text", "other_text", 1).between(0, 1))  # a threshold that is passed gives -1
-    return sure.groupBy("line").agg(F.min("keep").alias("keep"))
+    near = materialize(sure.groupBy("line").agg(F.min("keep").alias("keep")), "near")
+    for done in (many, wanted, texts, emitted):
+        discard(done)
+    release(spark)
+    return near
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -221,7 +225,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _without(text_col: str, gone_col: str):
     def without(batches):
-        for batch in batches:
+        for batch in slices(batches):
             gone = batch.column(gone_col).to_pylist()
             texts = batch.column(text_col)
             if any(gone):
