@@ -37,6 +37,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tracewell_path = path
     return out
@@ -52,7 +53,10 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that have ended: it does when the driver's JVM collects their garbage."""
+    """Let Spark delete the shuffle files of plans that have ended: it does when the driver's JVM collects their garbage.
+
+    That also gives the driver's memory back, which many small plans would fill up with theirs.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -91,6 +95,22 @@ def salted_lookup(rows: DataFrame, keys: list[str], leaf: str, table: DataFrame,
     return rows.join(spread, cond, how).drop("_kl", *[f"_k{i}" for i in range(len(keys))])
 
 
+#: What a Python worker keeps from task to task, by the operator that uses it.
+HELD: dict = {}
+
+
+def slices(batches, rows: int = 512, keep: str | None = None):
+    """The batches in parts of at most ``rows`` rows, so that what is made of a part stays small.
+
+    What the worker still holds for other operators than ``keep`` goes first.
+    """
+    for name in [n for n in HELD if n != keep]:
+        del HELD[name]
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def in_fold(doc_id: Column, folds: int, out: int) -> Column:
     """crc32(doc_id as text) mod ``folds`` is ``out``. A null id counts as empty text (its crc32 is 0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == out

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, lower_words, materialize
+from .common import in_fold, lower_words, materialize, slices
 
 DEPTH, CONTEXTS = 5, 32768
 #: Distinct words that a task holds before it passes their counts on; words whose counts go to all executors.
@@ -44,7 +44,7 @@ def _token_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([c[w] for w in words], pa.int64()), pa.array([o[w] for w in words], pa.int64())], ["word", "c", "o"])
         c.clear(), o.clear()
 
-    for batch in batches:
+    for batch in slices(batches):
         for out, text in zip(batch.column("out").to_pylist(), batch.column("text").to_pylist()):
             to = held[out]
             to.update(lower_words(text))
@@ -95,7 +95,7 @@ def _event_counts(depth: int):
             first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
             return code[first], np.add.reduceat(n, first)
 
-        for batch in batches:
+        for batch in slices(batches):
             for parts in _chunks([lower_words(t) for t in batch.column("text").to_pylist()]):
                 held.append(np.unique(event_codes(parts, depth), return_counts=True))
                 if len(held) > 1 and sum(len(c) for c, _ in held) > EVENTS:
@@ -234,7 +234,7 @@ def _score_texts(model, counts):
     def score(batches):
         """A row per document with its score and what its frequent tokens give, and a row for each other distinct word."""
         get = counts.value.get
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in schema]
             texts = [lower_words(t) for t in batch.column("text").to_pylist()]
             scores = model.value.score(texts).tolist()

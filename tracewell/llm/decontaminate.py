@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, slices
 
 #: Bytes that are not part of a word become spaces: \x00-\x2F \x3A-\x60 \x7B-\x7F, after lower-casing A-Z.
 WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -40,7 +40,7 @@ def windows_of(words: list, width: int) -> list[tuple]:
 def _counts(wanted: frozenset):
     def count(batches):
         total: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 total.update([w for w in words_of(text) if w in wanted])
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
@@ -79,7 +79,7 @@ def find(words: list, index: dict) -> tuple[list[int], list[int], set[int]]:
 def _scan(shared):
     def scan(batches):
         index = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(len(w := words_of(t)), *find(w, index)) for t in batch.column("text").to_pylist()]
             n, a, b, found = map(list, zip(*rows)) if rows else ([],) * 4
             yield pa.RecordBatch.from_arrays(

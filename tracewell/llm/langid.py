@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 LETTER = re.compile(r"[^\W\d_]")
 N, HASHES, SLOTS = 4, 2, 1 << 21
-#: Distinct words that a training task holds before it passes their counts on.
-HELD = 300_000
+#: Distinct words of a language that a training task holds before it passes their counts on.
+HELD = 100_000
 #: Bytes of a document that are not letters become spaces.
 FOLD = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -75,7 +77,7 @@ def _gram_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(total)], ["lang", "gram", "n"])
 
     held: dict[str, Counter] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             held.setdefault(lang, Counter()).update(text.encode("utf-8", "surrogatepass").translate(FOLD).split())
             if len(held[lang]) > HELD:
@@ -131,7 +133,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_s
 
 def _predict(shared):
     def predict(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], ["id", "lang_pred", "score"])
 
@@ -155,7 +157,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", rejec
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([shared.value.predict(t)[0] != rejected for t in batch.column(text_col).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

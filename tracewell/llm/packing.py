@@ -12,16 +12,14 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import HELD, materialize, slices
 
 #: Pieces in a group, about.
 GROUP = 100_000
@@ -103,8 +101,8 @@ class WordIds:
 
 
 def word_ids(path: str) -> WordIds:
-    """The worker's own: it lives as long as the worker."""
-    held = sys.__dict__.setdefault("_tracewell_word_ids", {})
+    """The worker's own, kept until a task of another operator runs there."""
+    held = HELD.setdefault("packing", {})
     if path not in held:
         held[path] = WordIds(path)
     return held[path]
@@ -113,7 +111,7 @@ def word_ids(path: str) -> WordIds:
 def _pieces(path: str, size: int, end: int):
     def pieces(batches):
         ids_of, tail = word_ids(path), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, keep="packing"):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             rows = []
             for at in range(0, len(ids), 128):
@@ -192,7 +190,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _packer(size: int):
-    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(key, rows):
         rows = rows.sort_values(["order", "doc_id", "piece"], kind="stable").reset_index(drop=True)
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), size)
         return rows[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import any_leaf, fresh, lower_words, materialize, salted_lookup
+from .common import any_leaf, fresh, lower_words, materialize, salted_lookup, slices
 from .components import components
 
 #: Fingerprints in one list at most (two chunks of half of it each, for a larger key).
@@ -49,7 +49,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in slices(batches):
         got = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("check"), pa.array(got)], ["id", "check", "fp"])
 

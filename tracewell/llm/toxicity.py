@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 SENTENCE = re.compile(rb"[^.!?\n]+")
 WORD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _score(shared):
     def score(batches):
         of = shared.value.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             got = [of(t) for t in batch.column("text").to_pylist()]
             spans = pa.array([[{"start": a, "end": b, "score": p} for a, b, p in x] for _, x in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p for p, _ in got], pa.float64()), spans], ["id", "score", "offending"])
