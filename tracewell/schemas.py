@@ -29,6 +29,8 @@ DERIVED = {
 }
 TABLES = EVIDENCE | DERIVED
 
+# Fixed values of the data model: kinds, fields, limits, weights and thresholds decide what is found and in which order.
+
 UNIT_KINDS = ("file", "module", "type", "impl", "function", "method", "section", "paragraph", "code_block", "gap")
 #: Kinds whose ids hold an ordinal and so shift when something is inserted before them.
 ORDINAL_KINDS = ("paragraph", "code_block", "gap")

@@ -57,33 +57,34 @@ def links(line: str) -> list[str]:
     """Targets of links outside code spans, wiki links as ``wiki:<page>``; images are none."""
     out = []
     for wiki, image, target in LINK.findall(SPAN.sub(lambda m: " " * len(m[0]), line)):
-        if wiki:
-            out.append("wiki:" + wiki.split("|", 1)[0].strip())
+        if page := wiki.split("|", 1)[0].strip():
+            out.append("wiki:" + page)
         elif not image and target.split():
             out.append(target.split()[0])
     return out
 
 
+def resolved(folder: str, file: str) -> str:
+    """A path as seen from a folder, without dots; a leading slash means the root."""
+    kept: list[str] = []
+    for part in ([] if file.startswith("/") else folder.split("/")) + file.split("/"):
+        if part == "..":
+            kept = kept[:-1]
+        elif part not in ("", "."):
+            kept.append(part)
+    return "/".join(kept)
+
+
 def normalize_link(path: str, target: str) -> str | None:
     """The file, and anchor, that a link from ``path`` means; none for what lies outside."""
-    folder = path.rsplit("/", 1)[0] if "/" in path else ""
+    folder = path.rpartition("/")[0]
     if target.startswith("wiki:"):
-        return f"{folder}/{target[5:]}.md" if folder else f"{target[5:]}.md"
+        return resolved(folder, target[5:].removesuffix(".md") + ".md")
     if "://" in target or target.startswith("mailto:"):
         return None
-    file, sharp, anchor = target.partition("#")
-    if file.startswith("/"):
-        parts = file.split("/")
-    else:
-        parts = [*folder.split("/"), *file.split("/")] if file else path.split("/")
-    kept: list[str] = []
-    for p in parts:
-        if p == ".." and kept:
-            kept.pop()
-        elif p not in ("", ".", ".."):
-            kept.append(p)
-    anchor = unquote(anchor).lower()
-    return "/".join(kept) + (f"#{anchor}" if sharp and anchor else "")
+    file, _, anchor = target.partition("#")
+    found = resolved(folder, unquote(file)) if file else path
+    return f"{found}#{unquote(anchor).lower()}" if anchor else found
 
 
 def text(path: str, content: str, prose: bool) -> UnitTree:
