@@ -18,12 +18,18 @@ def split_identifier(word: Column) -> Column:
 
 
 def word_terms(word: Column) -> Column:
-    """The whole word (two characters or more), then its parts where it has several."""
-    bare = F.trim(word, F.lit("_"))
-    whole = F.lower(bare)
+    """The whole word (two characters or more), then its parts where it has several.
+
+    Most words have neither capitals nor underscores: such a word is one part, and no other branch is evaluated for it.
+    """
+    plain = F.when(F.char_length(word) >= 2, F.array(F.lower(word))).otherwise(F.array().cast("array<string>"))
+    return F.when(word.rlike("[_\\p{IsUppercase}]"), _parted(F.trim(word, F.lit("_")))).otherwise(plain)
+
+
+def _parted(bare: Column) -> Column:
+    whole, none = F.lower(bare), F.array().cast("array<string>")
     parts = split_identifier(bare)
     others = F.filter(parts, lambda p: (F.char_length(p) >= 2) & (p != whole))
-    none = F.array().cast("array<string>")
     return F.when(F.char_length(whole) < 2, none).otherwise(F.concat(F.array(whole), F.when(F.size(parts) > 1, others).otherwise(none)))
 
 
@@ -36,7 +42,7 @@ def bigrams(run: Column) -> Column:
 def tokenize_raw(text: Column) -> Column:
     """All terms of a text in order, duplicates kept, without stems."""
     runs = F.regexp_extract_all(text, F.lit(RUNS), 0)
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]"), bigrams(r)).otherwise(word_terms(r))))
+    return F.flatten(F.transform(runs, lambda r: F.when(r >= "\u1100", F.when(r.rlike(f"^[{CJK}]"), bigrams(r)).otherwise(word_terms(r))).otherwise(word_terms(r))))
 
 
 def lines(text: Column) -> Column:

@@ -15,9 +15,21 @@ from ..functions.text import dph, first_line, tokenize_raw
 from ..schemas import RANK_DIGITS, TITLE_BOOST
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt to all cores where the table is too small for its scan to fill them: costly expressions follow.
+
+    A table with a split of the scan's size for each core, or more, stays where it is read.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return rows.repartition(cores) if size < cores * split else rows
+
+
 def term_counts(texts: DataFrame, key: list[str], text: str, stems: bool = True) -> DataFrame:
     """(*key, term, tf) of the tokens of a text column; ``stems`` counts each for its stem too."""
-    raw = texts.select(*key, F.explode(tokenize_raw(F.col(text))).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    raw = spread(texts.select(*key, text)).select(*key, F.explode(tokenize_raw(F.col(text))).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     return add_stems(raw) if stems else raw
 
 

@@ -19,6 +19,7 @@ class Scope:
     prefix: str
     in_owner: bool = False  # directly in a type's body: functions are methods
     owner: str | None = None  # the type around, for calls on itself
+    calls: bool = True  # whether names before round brackets are calls; not in a type's own declaration
 
 
 class Reader:
@@ -256,7 +257,7 @@ class RustReader(TokenReader):
             inner = self.function(scope, name, line, self.toks[last].end)
         else:
             unit = self.named(scope, name, "function" if word == "macro_rules" else "type", line, self.toks[last].end)
-            inner = Scope(unit, unit, True, name) if word == "trait" else Scope(unit, unit, False, scope.owner)
+            inner = Scope(unit, unit, True, name) if word == "trait" else Scope(unit, unit, False, scope.owner, False)
         if word != "macro_rules":
             self.walk(at + 1, last, inner)
         return last + 1
@@ -302,7 +303,7 @@ class RustReader(TokenReader):
 
     def callee(self, i: int, word: str, scope: Scope) -> None:
         before, name, kind = self.step(i, -1), word, "call"
-        if self.at(before) == "fn":
+        if self.at(before) == "fn" or not scope.calls:
             return
         if self.at(before) == ".":
             value = self.step(before, -1)
