@@ -10,6 +10,7 @@ bin. A group wastes a bin or two at most beyond its share, whatever the size of
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,7 +29,10 @@ REMEMBERED = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: Letters and the ASCII signs after them are apart in this kind of vocabulary, and its case is lower.
+#: The settings of a vocabulary for which words may be encoded apart: white space is dropped, letters and signs never share a pre-token.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PRE_TOKENS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters and the ASCII signs after them are then apart, if the letters stay letters once they are normalised.
 LETTERS_THEN_SIGNS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-;=?-@\[-`{-~]*)")
 
 
@@ -48,19 +52,40 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordIds:
-    """ids: word (UTF-8) -> its ids as little-endian uint32 bytes. White space ends a token in this kind of vocabulary."""
+    """ids: word (UTF-8) -> its ids as little-endian uint32 bytes; ``apart`` says whether the vocabulary allows it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        normal, cut = told["normalizer"] or {}, told["pre_tokenizer"] or {}
+        first = (cut.get("pretokenizers") or [{}])[0]
+        self.apart = (
+            [x["type"] for x in normal.get("normalizers", [])] == NORMALIZERS
+            and normal["normalizers"][1]["pattern"] == {"Regex": "\\s+"}
+            and first.get("pattern") == {"Regex": PRE_TOKENS}
+            and all(x["special"] and x["content"].startswith("<|") for x in told["added_tokens"])
+        )
         self.ids: dict[bytes, bytes] = {}
         self.signs: dict[bytes, bytes] = {}
 
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, words: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+        return self.encode_texts([w.decode("utf-8", "replace") for w in words])
+
+    def letters(self, core: bytes) -> bool:
+        """Whether a word of no ASCII sign is one pre-token, and stays one with a sign after it: by the library itself."""
+        if core.isascii():
+            return True
+        text = core.decode("utf-8", "replace")
+        if text.isalpha():
+            normal = self.tokenizer.normalizer.normalize_str(text)
+            return [a for _, a in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal + "?")] == [(0, len(normal)), (len(normal), len(normal) + 1)]
+        return False
 
     def encode_cores(self, words: list[bytes]) -> list[bytes]:
         """The same for words that are one pre-token each: many at once, told apart by the library's word numbers."""
@@ -81,11 +106,12 @@ class WordIds:
         ids, signs = self.ids, self.signs
         if len(ids) > REMEMBERED:
             ids.clear()
-        new = [w for w in words if w not in ids]
         apart, rest = [], []
-        for w in new:
+        for w in words:
+            if w in ids:
+                continue
             m = LETTERS_THEN_SIGNS.fullmatch(w)
-            if m and ((core := m[1].lower()).isascii() or core.decode("utf-8", "replace").isalpha()):
+            if m and self.letters(core := m[1].lower()):
                 if (tail := m[2]) and tail not in signs:
                     if len(signs) > 10_000:
                         signs.clear()
@@ -99,6 +125,14 @@ class WordIds:
         ids.update(zip(cores, self.encode_cores(cores)))
         ids.update([(w, ids[core] + tail) for w, core, tail in apart])
 
+    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as the library gives them for the whole text."""
+        if not self.apart:
+            return self.encode_texts([t or "" for t in texts])
+        words = [words_of(t) for t in texts]
+        self.learn(set().union(*words))
+        return [b"".join(map(self.ids.__getitem__, ws)) for ws in words]
+
 
 def word_ids(path: str) -> WordIds:
     """The worker's own, kept until a task of another operator runs there."""
@@ -110,15 +144,13 @@ def word_ids(path: str) -> WordIds:
 
 def _pieces(path: str, size: int, end: int):
     def pieces(batches):
-        ids_of, tail = word_ids(path), np.array([end], "<u4").tobytes()
+        known, tail = word_ids(path), np.array([end], "<u4").tobytes()
         for batch in slices(batches, keep="packing"):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             rows = []
             for at in range(0, len(ids), 128):
-                words = [words_of(t) for t in texts[at : at + 128]]
-                ids_of.learn(set().union(*words))
-                for doc, ws in zip(ids[at : at + 128], words):
-                    data = b"".join(map(ids_of.ids.__getitem__, ws)) + tail
+                for doc, data in zip(ids[at : at + 128], known.ids_of(texts[at : at + 128])):
+                    data += tail
                     n = len(data) // 4
                     rows += [(doc, k, s, min(size, n - s), zlib.crc32(data[4 * s : 4 * (s + size)])) for k, s in enumerate(range(0, n, size))]
             cols = list(zip(*rows)) or [()] * 5
@@ -201,7 +233,8 @@ def _packer(size: int):
 def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``vocabulary`` is the path of a tokenizer file on every executor. A null or empty text is the end id alone.
+    ``vocabulary`` is the path of a tokenizer file on every executor; where its settings do not allow to encode words
+    apart, whole texts are encoded. A null or empty text is the end id alone.
     Ids may be null or repeated: rows are packed, not ids. Only the two columns are read. An empty table
     gives an empty one.
     """
