@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import any_leaf, fresh, lower_words, materialize, salted_lookup, slices
 from .components import components
 
-#: Fingerprints in one list at most (two chunks of half of it each, for a larger key).
-LIST = 8192
+#: Fingerprints in one list at most (two chunks of half of it each, for a larger key), and comparisons of a fingerprint with a block of 64 at once.
+LIST, WORK = 4096, 1 << 19
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -126,21 +126,34 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
+def parts_of(sizes: list[int], work: int = WORK) -> list[tuple[int, int]]:
+    """Runs (from, to) of lists that are compared at once: as many as ``work`` comparisons of a block hold, one list at least."""
+    out, at, held = [], 0, 0
+    for k, n in enumerate(sizes):
+        own = n * -(-n // 64)
+        if k > at and held + own > work:
+            out.append((at, k))
+            at, held = k, 0
+        held += own
+    return [*out, (at, len(sizes))] if len(sizes) > at else out
+
+
 def _links(radius: int):
     def links(batches):
-        for batch in batches:
-            lists = [np.array(x, np.int64).view(np.uint64) for x in batch.column("fps").to_pylist()]
-            a, b = [], []
-            for at in range(0, len(lists), 2048):
-                part = lists[at : at + 2048]
-                for fps, (i, j) in zip(part, near_in_lists(part, radius)) if part else ():
+        for batch in slices(batches):
+            lists = batch.column("fps")
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            for at, to in parts_of(np.diff(ends).tolist()):
+                part = [values[ends[k] : ends[k + 1]] for k in range(at, to)]
+                a, b = [], []
+                for fps, (i, j) in zip(part, near_in_lists(part, radius)):
                     if len(i):
                         root = local_roots(len(fps), i, j)
                         k = np.nonzero(root != np.arange(len(fps)))[0]
                         a.append(fps[k])
                         b.append(fps[root[k]])
-            a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return links
 
