@@ -1,14 +1,13 @@
 """Exact deduplication [native] by a tree-merge of sorted digest runs.
 
 Every row belongs to a leaf, dealt row by row and not by its text, so a text that a third of the rows share
-is spread over all leaves. A leaf's run has one entry per digest. In each round the runs of ``fan_in``
-neighbours meet at their parent (a binomial exchange: run r goes to run r div fan_in) and are merged,
-entry by entry: counts add up, and of the identifiers the one to retain is taken. A run is sharded by its
-digests, so even the root's run is never in one task. An entry's key is the whole proof of equality
-(SHA-256, a second, independent 64-bit hash of the text, and its length), so entries merge at any level
-only if all three agree.
-Then the root's decisions go down the same tree, again at most ``fan_in`` entries a digest and round, until
-each row finds its own at its leaf.
+is spread over all leaves. A leaf's run is sorted by digest and has one entry per digest. In each round the runs of
+``fan_in`` neighbours (two: binomial rounds, as many as the number of leaves has doublings) meet at their parent, run r
+at run r div fan_in, and are merged in their order by a sort aggregate: counts add up, and of the identifiers the one
+to retain is taken. A run is sharded by its digests, so even the root's run is never in one task. An entry's key is
+the whole proof of equality (SHA-256, a second, independent 64-bit hash of the text, and its length), so entries merge
+at any level only if all three agree. Then the root's decisions go to the leaves that hold the digest, at most one
+entry a leaf, and each row finds its own there.
 """
 
 from __future__ import annotations
@@ -26,23 +25,27 @@ def digest_key(content: Column) -> list[Column]:
     return [F.unhex(F.sha2(content, 256)).alias("digest"), F.xxhash64(content).alias("check"), F.octet_length(content).alias("bytes")]
 
 
-def tree_merge(rows: DataFrame, n_leaves: int, fan_in: int = 16) -> DataFrame:
+def merged(runs: DataFrame, n: Column) -> DataFrame:
+    """Sorted runs (leaf, *KEY, top, n), merged where leaf and key agree.
+
+    The retained identifier is a structure, which Spark aggregates by sorting and merging, never by hashing: what a
+    task hands on is a sorted run, and what it receives are runs to merge.
+    """
+    return runs.groupBy("leaf", *KEY).agg(F.max("top").alias("top"), F.sum(n).alias("n"))
+
+
+def tree_merge(rows: DataFrame, n_leaves: int, fan_in: int = 2) -> DataFrame:
     """rows(id, leaf, digest, check, bytes) -> the same rows with keep_id (largest id) and group_size."""
-    levels = [rows.groupBy("leaf", *KEY).agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))]
-    width = n_leaves
+    run = merged(rows.select("leaf", *KEY, F.struct("id").alias("top")), F.lit(1))
+    held, width = run.select("leaf", *KEY), n_leaves
     while width > 1:
         width = -(-width // fan_in)
-        up = levels[-1].withColumn("leaf", F.floor(F.col("leaf") / fan_in))
-        levels.append(up.groupBy("leaf", *KEY).agg(F.max("top").alias("top"), F.sum("n").alias("n")))
-    known = levels.pop().select("leaf", *KEY, F.col("top").alias("keep_id"), F.col("n").alias("group_size"))
-    while levels:
-        level = levels.pop().select("leaf", *KEY).withColumn("parent", F.floor(F.col("leaf") / fan_in))
-        above = known.withColumnRenamed("leaf", "parent")
-        known = level.join(above, ["parent", *KEY]).drop("parent")
-    return rows.join(known, ["leaf", *KEY])
+        run = merged(run.withColumn("leaf", F.floor(F.col("leaf") / fan_in)), F.col("n"))
+    root = run.select(*KEY, F.col("top.id").alias("keep_id"), F.col("n").alias("group_size"))
+    return rows.join(held.join(root, KEY), ["leaf", *KEY])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 2) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as empty; the row with the largest id stays. A null id is
