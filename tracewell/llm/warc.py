@@ -13,6 +13,7 @@ succeeded says which archives count. What a lost or repeated task leaves behind
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import io
 import struct
@@ -57,22 +58,26 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refe
 
 
 def dictionary(records: list[bytes]) -> bytes:
-    """Trained on records spread evenly over the archive, ``SAMPLE`` bytes at most, the heads of long ones; empty if there are too few."""
-    step = max(1, sum(min(len(r), SAMPLE // 16) for r in records) // SAMPLE + 1)
-    samples = [r[: SAMPLE // 16] for r in records[::step]]
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY, max(256, sum(map(len, samples)) // 8)), samples, k=512, d=8).as_bytes() if len(samples) > 7 else b""
-    except zstandard.ZstdError:
-        return b""
+    """Trained on whole records spread evenly over the archive, about ``SAMPLE`` bytes of them.
+
+    A few records, or such that no dictionary can be trained on, are their own dictionary: its raw content is the start
+    of what they are.
+    """
+    step = sum(map(len, records)) // SAMPLE + 1
+    samples = records[::step]
+    size = min(DICTIONARY, max(256, sum(map(len, samples)) // 8))
+    if len(samples) > 7:
+        with contextlib.suppress(zstandard.ZstdError):
+            return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
+    return b"".join(samples)[:size]
 
 
 def archive(records: list[bytes], level: int = 3) -> bytes:
-    """The file: the dictionary in a leading skippable frame (none if it is empty), then a frame a record."""
+    """The file: the dictionary in a leading skippable frame, then a frame a record."""
     trained = dictionary(records)
-    press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None, write_content_size=True)
+    press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained), write_content_size=True)
     out = io.BytesIO()
-    if trained:
-        out.write(struct.pack("<II", MAGIC, len(trained)) + trained)
+    out.write(struct.pack("<II", MAGIC, len(trained)) + trained)
     for r in records:
         out.write(press.compress(r))
     return out.getvalue()
