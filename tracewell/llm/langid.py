@@ -1,11 +1,11 @@
 """Language ID with language-bitmask n-gram filters.
 
-Training counts byte n-grams by language over all training documents. An n-gram belongs to a language if it
-holds at least ``min_share`` of the language's n-grams and its share there is at least ``min_ratio`` of its
-largest share in any language; so a language has at most 1 / min_share n-grams, however large the corpus,
-and passing noise drops out. They go into one bit-sliced Bloom filter: each slot is a bitmask of languages, and the AND of
-an n-gram's slots is the mask of all languages that contain it. A text's score for a language is its number of
-n-grams with that bit, corrected for the filter's false positives; the largest decides.
+Training counts byte n-grams by language over all training documents, all of them. An n-gram belongs to a language if its share
+of that language's n-grams is at least ``min_ratio`` of its largest share in any language: what a language has only in
+passing, as every one has everything once the corpus is large, is not its own. They go into one bit-sliced Bloom filter, with as
+many slots as there are n-grams, and more: each slot is a bitmask of languages, and the AND of an n-gram's slots is the mask of
+all languages that contain it. A text's score for a language is its number of n-grams with that bit, corrected for the
+filter's false positives; the largest decides.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import discard, materialize, slices
 
 LETTER = re.compile(r"[^\W\d_]")
-N, HASHES, SLOTS = 4, 2, 1 << 21
+N, HASHES = 4, 2
+#: Slots of the filter: so many an n-gram, from the least to the most (16 MB for 64 languages). In a fuller filter
+#: more is taken back as false positives.
+SLOTS_EACH, SLOTS_LEAST, SLOTS_MOST = 8, 1 << 16, 1 << 21
 #: Distinct words of a language that a training task holds before it passes their counts on.
 HELD = 100_000
 #: Bytes of a document that are not letters become spaces.
@@ -48,13 +51,31 @@ def folded(text: str) -> bytes:
     return b" " + b" ".join(text.encode("utf-8", "surrogatepass").translate(FOLD).split()) + b" "
 
 
-def slots(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two slots of an n-gram."""
+def slots(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two of ``n`` slots (a power of two) of an n-gram."""
     with np.errstate(over="ignore"):
         h = g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(43)).astype(np.int64), ((h >> np.uint64(20)) & np.uint64(SLOTS - 1)).astype(np.int64)
+    return (h >> np.uint64(40)).astype(np.int64) & (n - 1), (h >> np.uint64(16)).astype(np.int64) & (n - 1)
+
+
+def _slot_masks(n: int):
+    """(slot, word, mask) of n-grams and the numbers of their languages, merged within a batch."""
+
+    def masks(batches):
+        for batch in batches:
+            langs = batch.column("langs")
+            g = batch.column("gram").to_numpy().astype(np.uint32)
+            k = langs.values.to_numpy().astype(np.int64)[: langs.offsets[-1].as_py()][langs.offsets[0].as_py() :]
+            g = np.repeat(g, np.diff(langs.offsets.to_numpy()))
+            word, bit = np.tile(k // 64, 2), np.tile(np.uint64(1) << (k % 64).astype(np.uint64), 2)
+            at, back = np.unique(np.concatenate(slots(g, n)) << 20 | word, return_inverse=True)
+            mask = np.zeros(len(at), np.uint64)
+            np.bitwise_or.at(mask, back.reshape(-1), bit)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 20), pa.array(at & 0xFFFFF), pa.array(mask.view(np.int64))], ["slot", "word", "mask"])
+
+    return masks
 
 
 def _gram_counts(batches):
@@ -93,7 +114,7 @@ class Model:
 
     def hits(self, g: np.ndarray) -> np.ndarray:
         """[gram, language] of 0 and 1."""
-        a, b = slots(g)
+        a, b = slots(g, len(self.masks))
         both = self.masks[a] & self.masks[b]
         return np.unpackbits(both.view(np.uint8).reshape(len(g), -1), axis=1, bitorder="little")[:, : len(self.langs)]
 
@@ -112,21 +133,22 @@ class Model:
         return self.langs[best], float(found[best] / found.sum()) if found.sum() > 0 else 0.0
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_share: float = 1e-5, min_ratio: float = 0.1) -> Model:
-    """A model from all rows with a language and a text. To the driver come at most 1 / min_share n-grams a language."""
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_ratio: float = 0.1) -> Model:
+    """A model from all rows with a language and a text. To the driver comes the filter only, a row per slot and 64 languages."""
     src = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = src.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = counts.join(total, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= min_share)
-    top = share.groupBy("gram").agg(F.collect_list(F.struct("lang", "share")).alias("all"), F.max("share").alias("top"))
-    kept = top.select("gram", F.expr(f"transform(filter(all, x -> x.share >= {min_ratio} * top), x -> x.lang)").alias("langs")).toPandas()
-    langs = sorted({x for xs in kept["langs"] for x in xs})
-    at = {x: i for i, x in enumerate(langs)}
-    masks = np.zeros((SLOTS, max(1, -(-len(langs) // 64))), np.uint64)
-    g = np.repeat(kept["gram"].to_numpy(np.int64), [len(x) for x in kept["langs"]]).astype(np.uint32)
-    k = np.array([at[x] for xs in kept["langs"] for x in xs], np.int64)
-    for s in slots(g):
-        np.bitwise_or.at(masks, (s, k // 64), np.uint64(1) << (k % 64).astype(np.uint64))
+    counts = materialize(src.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    langs = sorted(r.lang for r in totals.select("lang").collect())
+    number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])[F.col("lang")] if langs else F.lit(0)
+    share = counts.join(totals, "lang").select("gram", number.alias("k"), (F.col("n") / F.col("total")).alias("share"))
+    top = share.groupBy("gram").agg(F.collect_list(F.struct("k", "share")).alias("all"), F.max("share").alias("top"))  # a row per language at most
+    kept = top.select("gram", F.expr(f"transform(filter(all, x -> x.share >= {min_ratio} * top), x -> x.k)").alias("langs"))
+    n = counts.select("gram").distinct().count()
+    n_slots = min(SLOTS_MOST, max(SLOTS_LEAST, 1 << (SLOTS_EACH * max(1, n) - 1).bit_length()))
+    got = kept.mapInArrow(_slot_masks(n_slots), "slot long, word long, mask long").groupBy("slot", "word").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
+    discard(counts)
+    masks = np.zeros((n_slots, max(1, -(-len(langs) // 64))), np.uint64)
+    masks[got["slot"].to_numpy(np.int64), got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
     fill = np.array([((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
     return Model(langs, masks, fill**HASHES)
 
@@ -152,12 +174,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return src.mapInArrow(_predict(spark.sparkContext.broadcast(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", rejected: str = "und") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns: those that ``identify`` calls ``und`` go."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = None, rejected: str = "und") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all their columns: those that ``identify`` calls ``und`` go.
+
+    ``lang_col``: this column gets the language found.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
         for batch in slices(batches):
-            yield batch.filter(pa.array([shared.value.predict(t)[0] != rejected for t in batch.column(text_col).to_pylist()], pa.bool_()))
+            found = [shared.value.predict(t)[0] for t in batch.column(text_col).to_pylist()]
+            if lang_col:
+                at = batch.schema.get_field_index(lang_col)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(found, batch.schema.field(at).type))
+            yield batch.filter(pa.array([x != rejected for x in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
