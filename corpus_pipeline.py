@@ -1,7 +1,7 @@
 """A training-corpus pipeline over ``documents``: each stage works on all that the one before has kept.
 
 ``STAGES`` are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
-return the columns of ``documents``. ``run`` writes each stage's rows to the shared folder and reads them again.
+return the columns of ``documents``. ``run`` writes each stage's rows to the shared folder, reads them again, and deletes those of the stage before.
 SQL cannot express fingerprints, edit neighbourhoods and token ids together, so ``ORACLE_SQL`` is None and the
 tests compare the stages with brute-force versions.
 """
@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 import tracewell
 from tracewell.llm import decontaminate, langid, linededup, packing, queries, simhash
-from tracewell.llm.common import in_fold, materialize, read_table
+from tracewell.llm.common import discard, in_fold, materialize, read_table
 
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go. The model learns from three of four folds."""
-    return langid.keep_identified(docs, langid.train(docs.where(~in_fold(F.col("doc_id"), 4, 2))))
+    """``lang`` becomes the language found; documents without one (no text, or no letter in it) go. The model learns from three of four folds."""
+    return langid.keep_identified(docs, langid.train(docs.where(~in_fold(F.col("doc_id"), 4, 2))), lang_col="lang" if "lang" in docs.columns else None)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracewell.ship(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
