@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,6 +124,46 @@ def slices(batches, rows: int = 512, keep: str | None = None):
     tidy()
 
 
+#: Bits of a filter of candidates: so many a key, from the least to the most (16 MB). It only spares rows a way: what passes
+#: wrongly finds no partner in the join that follows, so the rows are the same with a full filter.
+FILTER_EACH, FILTER_LEAST, FILTER_MOST = 16, 1 << 20, 1 << 27
+
+
+def candidate_bits(keys: DataFrame, digits: Column) -> np.ndarray:
+    """The bits (in bytes) of the places of the keys, two a key: the first 16 of at least 16 hex ``digits`` (or fewer, of a number) are two 32-bit numbers.
+
+    Every task merges its own bits before they meet.
+    """
+    n = keys.count()
+    n_bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_EACH * n - 1).bit_length())) if n else FILTER_LEAST
+    places = F.array(*[F.conv(F.substring(F.lpad(digits, 16, "0"), at, 8), 16, 10).cast("long").bitwiseAND(F.lit(n_bits - 1)) for at in (1, 9)])
+    at = keys.select(F.explode(places).alias("at"))
+    words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 31 AS INT)))").alias("bits")).toPandas()  # n_bits / 32 rows at most
+    out = np.zeros(n_bits // 32, "<u4")
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def has_bits(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which rows of [key, 2] 32-bit numbers pass the filter."""
+    at = places & np.uint32(8 * len(bits) - 1)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
+def passing(shared, key: str):
+    """The rows whose long ``key`` passes the filter."""
+
+    def rows(batches):
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            x = batch.column(key).to_numpy().view(np.uint64)
+            places = np.stack([x >> np.uint64(32), x & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+            yield batch.filter(pa.array(has_bits(bits, places)))
+        tidy()
+
+    return rows
+
+
 def in_fold(doc_id: Column, folds: int, out: int) -> Column:
     """crc32(doc_id as text) mod ``folds`` is ``out``. A null id counts as empty text (its crc32 is 0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == out

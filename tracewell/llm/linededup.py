@@ -19,14 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import any_leaf, discard, fresh, materialize, release, salted_lookup, slices
+from .common import any_leaf, candidate_bits, discard, fresh, has_bits, materialize, release, salted_lookup, slices
 
 REGIONS, MIN_CHARS = 3, 20
 #: Lines that a task remembers, so as to give the keys of a repeated line once.
 SEEN = 200_000
-#: Bits of the filter of candidates: so many a candidate, from the least to the most (16 MB). It only spares texts a way: what passes
-#: wrongly finds no candidate in the join, so the rows are the same with a full filter.
-FILTER_EACH, FILTER_LEAST, FILTER_MOST = 16, 1 << 20, 1 << 27
 SEP = "\x00"
 #: Lines of these alone are blank.
 WHITE = " \t\n\v\f\r"
@@ -79,23 +76,9 @@ def _occurrences(min_chars: int):
     return occurrences
 
 
-def _bit_places(digests: list[bytes], n_bits: int) -> np.ndarray:
-    """Two places of each digest: its first two 32-bit words."""
-    x = np.frombuffer(b"".join(digests), ">u4").reshape(-1, 4)
-    return x[:, :2].astype(np.uint32) & np.uint32(n_bits - 1)
-
-
-def candidate_filter(lines: DataFrame) -> np.ndarray:
-    """The bits (in bytes) of the places of the digests in column ``line``; every task merges its own before they meet."""
-    n = lines.count()
-    n_bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_EACH * n - 1).bit_length())) if n else FILTER_LEAST
-    digits = F.hex("line")
-    places = F.array(*[F.conv(F.substring(digits, at, 8), 16, 10).cast("long").bitwiseAND(F.lit(n_bits - 1)) for at in (1, 9)])
-    at = lines.select(F.explode(places).alias("at"))
-    words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 31 AS INT)))").alias("bits")).toPandas()  # n_bits / 32 rows at most
-    out = np.zeros(n_bits // 32, "<u4")
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint8)
+def _bit_places(digests: list[bytes]) -> np.ndarray:
+    """The first two 32-bit numbers of each digest."""
+    return np.frombuffer(b"".join(digests), ">u4").reshape(-1, 4)[:, :2].astype(np.uint32)
 
 
 def _texts_of(shared):
@@ -108,9 +91,7 @@ def _texts_of(shared):
             got = []
             if lines:
                 digests = [digest(x) for x in lines]
-                at = _bit_places(digests, 8 * len(bits))
-                hit = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
-                for k in np.flatnonzero(hit).tolist():
+                for k in np.flatnonzero(has_bits(bits, _bit_places(digests))).tolist():
                     if digests[k] not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
@@ -187,7 +168,7 @@ def near_lines(occurrences: DataFrame, first: DataFrame, src: DataFrame) -> Data
     many = materialize(many, "keys")
     release(spark)
     wanted = materialize(rows.join(many, "key").groupBy("line").agg(F.collect_set("key").alias("keys")), "candidates")  # 2 * REGIONS keys at most
-    bits = spark.sparkContext.broadcast(candidate_filter(wanted).tobytes())
+    bits = spark.sparkContext.broadcast(candidate_bits(wanted, F.substring(F.hex("line"), 1, 16)).tobytes())
     texts = src.select("text").mapInArrow(_texts_of(bits), "line binary, text string").groupBy("line").agg(F.first("text").alias("text"))
     texts = materialize(wanted.join(texts, "line").join(first.select("line", "place"), "line"), "lines")
     bits.destroy()
