@@ -138,9 +138,9 @@ def candidate_bits(keys: DataFrame, digits: Column) -> np.ndarray:
     n_bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_EACH * n - 1).bit_length())) if n else FILTER_LEAST
     places = F.array(*[F.conv(F.substring(F.lpad(digits, 16, "0"), at, 8), 16, 10).cast("long").bitwiseAND(F.lit(n_bits - 1)) for at in (1, 9)])
     at = keys.select(F.explode(places).alias("at"))
-    words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 31 AS INT)))").alias("bits")).toPandas()  # n_bits / 32 rows at most
+    words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 31 AS INT)))").alias("bits")).toArrow()  # n_bits / 32 rows at most
     out = np.zeros(n_bits // 32, "<u4")
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint8)
 
 

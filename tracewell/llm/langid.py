@@ -145,10 +145,10 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_r
     kept = top.select("gram", F.expr(f"transform(filter(all, x -> x.share >= {min_ratio} * top), x -> x.k)").alias("langs"))
     n = counts.select("gram").distinct().count()
     n_slots = min(SLOTS_MOST, max(SLOTS_LEAST, 1 << (SLOTS_EACH * max(1, n) - 1).bit_length()))
-    got = kept.mapInArrow(_slot_masks(n_slots), "slot long, word long, mask long").groupBy("slot", "word").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
+    got = kept.mapInArrow(_slot_masks(n_slots), "slot long, word long, mask long").groupBy("slot", "word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
     discard(counts)
     masks = np.zeros((n_slots, max(1, -(-len(langs) // 64))), np.uint64)
-    masks[got["slot"].to_numpy(np.int64), got["word"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64)
+    masks[got["slot"].to_numpy(), got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
     fill = np.array([((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
     return Model(langs, masks, fill**HASHES)
 
