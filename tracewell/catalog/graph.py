@@ -102,7 +102,7 @@ def touched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_COCHANGE = f"""sets AS (SELECT DISTINCT o_orderkey AS c, floor(epoch(o_orderdate))::BIGINT AS ts, l_partkey AS u FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-sized AS (SELECT sets.c, u, exp(-greatest((SELECT max(ts) FROM sets) - ts, 0) / (365.0 * 86400.0)) / (n - 1) AS w FROM sets JOIN (SELECT c, count(*) AS n FROM sets GROUP BY c HAVING count(*) BETWEEN 2 AND 40) z ON z.c = sets.c),
+sized AS (SELECT sets.c, u, exp(-greatest((SELECT arg_max(ts, c) FROM sets) - ts, 0) / (365.0 * 86400.0)) / (n - 1) AS w FROM sets JOIN (SELECT c, count(*) AS n FROM sets GROUP BY c HAVING count(*) BETWEEN 2 AND 40) z ON z.c = sets.c),
 half AS (SELECT a.u AS a, b.u AS b, sum(a.w) AS weight FROM sized a JOIN sized b ON a.c = b.c AND a.u < b.u GROUP BY a.u, b.u HAVING count(*) >= 2 AND sum(a.w) > 0),
 pairs AS (SELECT a AS src, b AS dst, weight FROM half UNION ALL SELECT b, a, weight FROM half)"""
 
@@ -305,3 +305,35 @@ def tests_field_terms(spark, sf_dir):
     """What conversations say of the sources whose names they use (terms without stems)."""
     postings, _ = relations.tests_field(*tests_inputs(spark, sf_dir), stems=False)
     return rounded(postings.select("doc", "term", "tf"), 6, "tf")
+
+
+@BOOK.add("SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst, s_suppkey % 5 + 1.0 AS weight FROM supplier WHERE s_nationkey = 3")
+def edges_to_unit(spark, sf_dir):
+    """Edges of suppliers into one nation."""
+    edges = table(spark, sf_dir, "supplier").selectExpr("concat('s', s_suppkey) AS src", "concat('n', s_nationkey) AS dst", "CAST(s_suppkey % 5 + 1 AS DOUBLE) AS weight")
+    return lookups.edges_to(edges, "n3")
+
+
+@BOOK.add("SELECT 'c' || conv_id || '/' || turn AS id, turn AS ord FROM conversations WHERE conv_id = 7")
+def children_of_unit(spark, sf_dir):
+    """Turns of one conversation."""
+    turns = table(spark, sf_dir, "conversations").selectExpr("concat('c', conv_id, '/', turn) AS id", "concat('c', conv_id) AS parent", "turn AS ord")
+    return lookups.children(turns, "c7").select("id", "ord")
+
+
+@BOOK.add("SELECT url AS path, sha256(coalesce(html, '')) AS hash FROM pages WHERE starts_with(url, 'https://')")
+def file_hashes_below(spark, sf_dir):
+    """Hashes of pages below a path, as of files."""
+    from ..sources.scan import content_hash
+
+    files = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), content_hash(F.coalesce("html", F.lit(""))).alias("hash"))
+    return lookups.file_hashes(files).join(lookups.file_paths(files, "https://").distinct(), "path", "left_semi")
+
+
+@BOOK.add("SELECT page_id, NOT (lower(string_split(f, '.')[-1]) IN ('png', 'zip', 'lock') AND contains(f, '.')) AND n <= 2097152 AS admitted FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a.PNG' WHEN 1 THEN 'b.rs' WHEN 2 THEN 'zip' WHEN 3 THEN 'c.d.zip' ELSE 'e.py' END AS f, page_id * 100000 AS n FROM pages)")
+def files_admitted(spark, sf_dir):
+    """What can be said of a file by its name and size: one per page."""
+    from ..sources.scan import admissible
+
+    names = table(spark, sf_dir, "pages").selectExpr("page_id", "concat('x/', element_at(array('a.PNG', 'b.rs', 'zip', 'c.d.zip', 'e.py'), CAST(page_id % 5 + 1 AS INT))) AS path", "page_id * 100000 AS n")
+    return names.select("page_id", admissible(F.col("path"), F.col("n")).alias("admitted"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ranking
-from ..schemas import RANK_DIGITS
+from ..plans.search import Index, text_scores
+from ..schemas import LIMITS, RANK_DIGITS, TABLES, TEST_FILES
 from .common import Book, near, rounded, sql_dph, sql_terms, table
 
 BOOK = Book()
@@ -132,3 +133,31 @@ def term_postings(spark, sf_dir):
     """Postings of all benchmark terms, with the documents' lengths."""
     wanted = ranking.term_counts(table(spark, sf_dir, "benchmark"), [], "text", stems=False).select("term")
     return code_postings(spark, sf_dir).join(wanted, "term", "left_semi").join(field_docs(spark, sf_dir).drop("field"), "doc").select("term", "doc", "tf", "len")
+
+
+# Conversations are files, their turns leaves, and the words of a file's first turn are its tests field.
+
+SQL_TURNS = f"""u AS (SELECT 'c' || conv_id || '/' || turn AS doc, 'c' || conv_id AS file, turn, text FROM conversations),
+t AS (SELECT doc, file, turn, unnest({sql_terms('text')}) AS term FROM u),
+p AS (SELECT 'code' AS field, term, doc, count(*)::DOUBLE AS tf FROM t GROUP BY term, doc UNION ALL SELECT 'tests', term, file, count(*)::DOUBLE FROM t WHERE turn = 0 GROUP BY term, file),
+d AS (SELECT 'code' AS field, u.doc, coalesce(len, 0.0) AS len FROM u LEFT JOIN (SELECT doc, sum(tf) AS len FROM p WHERE field = 'code' GROUP BY doc) x ON x.doc = u.doc UNION ALL SELECT 'tests', doc, sum(tf) FROM p WHERE field = 'tests' GROUP BY doc),
+s AS (SELECT field, count(*) AS n, sum(len) AS total FROM d GROUP BY field)"""
+
+
+@BOOK.add(f"""WITH {SQL_TURNS}, {SQL_TERMS}, {SQL_BITS},
+tb AS (SELECT qid, doc AS file, bits FROM b WHERE field = 'tests' AND bits <> 0),
+best AS (SELECT qid, file FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bits, {RANK_DIGITS}) DESC, file) AS r FROM tb WHERE bits > 0) WHERE r <= {TEST_FILES}),
+c AS (SELECT qid, doc, sum(bits) AS own FROM (SELECT qid, doc, bits FROM b WHERE field = 'code' UNION ALL SELECT qid, doc, 0.0 FROM best JOIN u USING (file)) GROUP BY qid, doc),
+total AS (SELECT c.qid, c.doc, own + coalesce(tb.bits, 0.0) AS score FROM c JOIN u ON u.doc = c.doc LEFT JOIN tb ON tb.qid = c.qid AND tb.file = u.file)
+SELECT qid, doc, {near('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, {RANK_DIGITS}) DESC, doc) AS r FROM total WHERE score > 0) WHERE r <= {LIMITS['text']}""")
+def text_operator(spark, sf_dir):
+    """The text operator in full: turns by their words and their file's tests, with the leaves of the best files."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("id"), F.concat(F.lit("c"), "conv_id").alias("path"), "turn", "text")
+    code = ranking.term_counts(turns.withColumnRenamed("id", "unit_id"), ["unit_id"], "text", stems=False)
+    sizes = code.groupBy(F.col("unit_id").alias("id")).agg(F.sum("tf").alias("len"))
+    units = turns.join(sizes, "id", "left").select("id", "path", F.lit(True).alias("is_leaf"), F.coalesce("len", F.lit(0.0)).alias("len"))
+    tests = ranking.term_counts(turns.where("turn = 0").select(F.col("path").alias("doc"), "text"), ["doc"], "text", stems=False).select(F.lit("tests").alias("field"), "term", "doc", "tf")
+    none = {name: spark.createDataFrame([], TABLES[name]) for name in ("hist_postings", "hist_docs")}
+    index = Index({"units": units, "postings": code, "fpostings": tests, "fdocs": tests.groupBy("field", "doc").agg(F.sum("tf").alias("len")), **none})
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("string").alias("scope"))
+    return rounded(text_scores(index, asked, stems=False)[0], 6, "score")

@@ -72,6 +72,32 @@ def edges_to(edges: DataFrame, dst: str) -> DataFrame:
     return edges.where(F.col("dst") == dst).orderBy(F.desc("weight"), "src", "dst")
 
 
+def cochange_from(cochange: DataFrame, src: str) -> DataFrame:
+    """What changes together with a unit, by its id."""
+    return cochange.where(F.col("src") == src).orderBy("dst")
+
+
+def file_hash(files: DataFrame, path: str) -> DataFrame:
+    """(hash) of one file; no row where it is not indexed."""
+    return files.where(F.col("path") == path).select("hash")
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    """(path, hash) of all files, in order of path."""
+    return files.select("path", "hash").orderBy("path")
+
+
+def file_paths(files: DataFrame, below: str = "") -> DataFrame:
+    """(path) of all files, or of those below a directory."""
+    return files.where(F.col("path").startswith(below)).select("path").orderBy("path")
+
+
+def stat_rows(stat: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """What is remembered of files' sizes and times; of paths(path) only, where given."""
+    rows = stat.select("path", "size", "mtime_ns", "checked_ns")
+    return rows if paths is None else rows.join(paths.select("path"), "path", "left_semi")
+
+
 def hist_postings(postings: DataFrame, docs: DataFrame, units: DataFrame) -> DataFrame:
     """History postings with their lengths; units that are gone drop out."""
     return postings.join(docs, "unit_id").join(units.select(F.col("id").alias("unit_id")), "unit_id", "left_semi").select("term", "unit_id", "tf", "len")

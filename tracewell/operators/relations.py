@@ -62,14 +62,14 @@ def tests_field(definitions: DataFrame, mentions: DataFrame, units: DataFrame, f
 def cochange(touched: DataFrame, now: int | None = None, tau_days: float = TAU_DAYS, support: int = SUPPORT, max_set: int = MAX_SET) -> DataFrame:
     """(src, dst, weight), both directions, of touched(commit, ts, unit): units that change together, recent ones more.
 
-    ``now`` defaults to the latest time. The size filter comes before the self-join, so a commit costs at
+    ``now`` defaults to the time of the last commit, by ``seq`` where touched has it, else by its id. The size filter comes before the self-join, so a commit costs at
     most max_set squared rows.
     """
     sets = touched.select("commit", "ts", "unit").distinct()
     sized = sets.join(sets.groupBy("commit").agg(F.count(F.lit(1)).alias("size")).where(F.col("size").between(2, max_set)), "commit")
     at = F.lit(now) if now is not None else F.col("now")
     if now is None:
-        sized = sized.crossJoin(F.broadcast(touched.agg(F.max("ts").alias("now"))))  # one row
+        sized = sized.crossJoin(F.broadcast(touched.agg(F.max_by("ts", "seq" if "seq" in touched.columns else "commit").alias("now"))))  # one row
     weighed = sized.select("commit", "unit", (F.exp(-F.greatest(at - F.col("ts"), F.lit(0)) / F.lit(tau_days * 86400.0)) / (F.col("size") - 1)).alias("w"))
     a, b = weighed.select("commit", F.col("unit").alias("a"), "w"), weighed.select("commit", F.col("unit").alias("b"))
     pairs = a.join(b, "commit").where("a < b").groupBy("a", "b").agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= support) & (F.col("weight") > 0))

@@ -53,10 +53,10 @@ def evidence_of(files: DataFrame) -> dict[str, DataFrame]:
 
 
 class Builder:
-    """Keeps the index of a directory, in a store."""
+    """Keeps the index of a directory, in a store; ``repo`` is where its history is, if not there."""
 
-    def __init__(self, spark: SparkSession, store: Store, root: str):
-        self.spark, self.store, self.root = spark, store, root
+    def __init__(self, spark: SparkSession, store: Store, root: str, repo: str | None = None):
+        self.spark, self.store, self.root, self.repo = spark, store, root, repo or root
 
     def index(self, only: list[str] | None = None) -> Report:
         """Bring the index up to what the directory holds; ``only`` restricts it to these paths and all below them.
@@ -134,7 +134,7 @@ class Builder:
         s = self.store
         commits, hunks, blobs = (s.put(t, log[t]) for t in ("commits", "hunks", "commit_blobs"))
         units = s.table("units")
-        touched = relations.cut(touched_units(self.root, hunks, blobs, units, s.table("files")))
+        touched = relations.cut(touched_units(self.repo, hunks, blobs, units, s.table("files")))
         messages = commits.select(F.col("id").alias("commit"), F.concat_ws("\n", "subject", "body").alias("message"))
         changes, postings, docs = relations.history_field(touched, messages)
         s.put("unit_changes", changes)

@@ -25,6 +25,30 @@ class Index:
         return self.tables[name]
 
 
+@dataclass
+class Field:
+    """A field of text: from an index to its postings(term, doc, tf) and docs(doc, len), of units."""
+
+    name: str
+    postings: Callable[[Index], DataFrame]
+    docs: Callable[[Index], DataFrame]
+
+
+#: Fields beside those that an index stores; register_field() adds to them.
+FIELDS: dict[str, Field] = {}
+
+
+def register_field(rule: Field) -> None:
+    """Let searches count the bits of one more field of units."""
+    if rule.name in (*UNIT_FIELDS, "tests"):
+        raise ValueError(f"{rule.name} is a stored field")
+    FIELDS[rule.name] = rule
+
+
+def unit_fields() -> list[str]:
+    return [*UNIT_FIELDS, *FIELDS]
+
+
 def field_tables(index: Index) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All fields' postings(field, term, doc, tf), docs(field, doc, len) and totals(field, n, total)."""
     units, leaf = index["units"], index["units"].where("is_leaf")
@@ -35,12 +59,15 @@ def field_tables(index: Index) -> tuple[DataFrame, DataFrame, DataFrame]:
     hist_docs = index["hist_docs"].join(units.select(F.col("id").alias("unit_id")), "unit_id", "left_semi").select(F.lit("history").alias("field"), F.col("unit_id").alias("doc"), "len")
     derived_docs = index["fdocs"].select("field", "doc", "len")
     docs = code_docs.unionByName(hist_docs).unionByName(derived_docs)
+    for rule in FIELDS.values():
+        derived = derived.unionByName(rule.postings(index).select(F.lit(rule.name).alias("field"), "term", "doc", "tf"))
+        docs = docs.unionByName(rule.docs(index).select(F.lit(rule.name).alias("field"), "doc", "len"))
     n = leaf.agg(F.count(F.lit(1)).alias("leaves"))  # history counts leaves, though containers may have history
     totals = ranking.field_totals(docs).join(F.broadcast(n)).select("field", F.when(F.col("field") == "history", F.col("leaves")).otherwise(F.col("n")).alias("n"), "total")
     return code.unionByName(history).unionByName(derived), docs, totals
 
 
-def text_scores(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def text_scores(index: Index, queries: DataFrame, stems: bool = True) -> tuple[DataFrame, DataFrame]:
     """Bits of units for each query's text: (qid, doc, score), and (qid, part, doc, score) by field.
 
     A file's bits in the tests field count for each of its candidates; the leaves of the best files by them are
@@ -48,10 +75,10 @@ def text_scores(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]
     """
     postings, docs, totals = field_tables(index)
     asked = queries.where(F.length(F.trim("text")) > 0)
-    bits = ranking.field_bits(ranking.weighted_terms(asked), postings, docs, totals)
+    bits = ranking.field_bits(ranking.weighted_terms(asked, stems=stems), postings, docs, totals)
     places = index["units"].select(F.col("id").alias("doc"), F.col("path").alias("file"), "is_leaf")
     scopes = asked.select("qid", F.coalesce("scope", F.lit("")).alias("scope"))
-    unit_bits = bits.where(F.col("field").isin(*UNIT_FIELDS)).join(places, "doc").join(scopes, "qid").where(F.col("file").startswith(F.col("scope")))
+    unit_bits = bits.where(F.col("field").isin(*unit_fields())).join(places, "doc").join(scopes, "qid").where(F.col("file").startswith(F.col("scope")))
     file_bits = bits.where("field = 'tests'").select("qid", F.col("doc").alias("file"), F.col("bits").alias("test_bits")).where("test_bits <> 0")
     best = ranking.top_k(file_bits.join(scopes, "qid").where(F.col("file").startswith(F.col("scope"))), TEST_FILES, score="test_bits", key="file", by=["qid"]).select("qid", "file")
     extra = best.join(places.where("is_leaf"), "file").select("qid", "doc", "file", F.lit("code").alias("field"), F.lit(0.0).alias("bits"), F.lit(True).alias("only_candidate"))

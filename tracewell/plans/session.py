@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import path_and_line
 from ..operators import lookups
 from ..schemas import AMBIGUOUS_SHOWN, K_MAX, K_MIN, TABLES
+from ..sources import gitlog
+from . import render
 from .build import Builder, Report
 from .search import Index, Plan, query_rows, search
 from .tables import Store
@@ -20,6 +22,24 @@ class Ambiguous(ValueError):
     """A reference that several units answer to."""
 
 
+#: The directory of an index inside the tree it is of.
+INDEX_DIR = ".tracewell"
+
+
+def locate(start: str) -> tuple[str, str]:
+    """(root, index) for a directory: the nearest index upward, or where a new one belongs, at the top of the repository."""
+    here = os.path.abspath(start)
+    up = here
+    while True:
+        if os.path.isfile(os.path.join(up, INDEX_DIR, "manifest.json")):
+            return up, os.path.join(up, INDEX_DIR)
+        if os.path.dirname(up) == up:
+            break
+        up = os.path.dirname(up)
+    root = gitlog.toplevel(here) if gitlog.is_repo(here) else here
+    return root, os.path.join(root, INDEX_DIR)
+
+
 class Session:
     """An index of a directory and the questions to it.
 
@@ -34,6 +54,20 @@ class Session:
         if not self.store.meta["tables"]:
             self.index()
 
+    @classmethod
+    def at(cls, spark: SparkSession, start: str = ".", refresh: bool = True) -> Session:
+        """The session of the nearest index from a directory upward; without one, the repository is indexed.
+
+        For a local master, or a tree on storage that executors share.
+        """
+        root, index = locate(start)
+        return cls(spark, root, index, refresh=refresh, git=gitlog.is_repo(root))
+
+    def answer(self, text: str = "", anchor: str | None = None, scope: str | None = None, k: int = K_MAX, as_json: bool = False) -> str:
+        """What find() gives, as text or JSON."""
+        hits, tests = self.find(text, anchor, scope, k)
+        return render.answer_json(hits, tests) if as_json else render.hits_text(hits, tests)
+
     def index(self, exact: bool = True) -> Report:
         """Index what changed. Exactly: history is derived anew also where only files changed."""
         report = self.builder.index()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import SCHEMA_VERSION, TABLES
 
+#: Commits after which a replaced version is deleted: a question may be answered while others refresh.
+KEPT = 8
 #: Tables that a dump leaves out: raw history, what can't matter to answers, and caches.
 NOT_DUMPED = ("commits", "hunks", "commit_blobs", "unit_changes", "stat_cache", "closure")
 
@@ -61,8 +63,13 @@ class Store:
         return self.meta["keys"].get(key, default)
 
     def commit(self, **keys: str | None) -> None:
-        """Make the pending versions, and these keys, the current ones; then drop what they replace."""
+        """Make the pending versions, and these keys, the current ones.
+
+        What they replace stays until it has been replaced ``KEPT`` commits ago, for readers that still hold it.
+        """
         old = [at for name, at in self.meta["tables"].items() if name in self.pending]
+        kept = [*self.meta.get("replaced", []), old]
+        self.meta["replaced"] = kept[-KEPT:]
         self.meta["tables"].update(self.pending)
         self.meta["keys"].update(keys)
         self.pending = {}
@@ -76,7 +83,7 @@ class Store:
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(p, final, options)
-        for at in old:
+        for at in (x for versions in kept[:-KEPT] for x in versions):
             f, q = self._fs(at)
             f.delete(q, True)
 
