@@ -87,11 +87,11 @@ def resolve_same_file(spark, sf_dir):
     return rounded(edges(spark, sf_dir).where("origin = 'same_file'"), 9, "weight")
 
 
-@BOOK.add("""SELECT DISTINCT upper(n) AS asked, source || '::' || n AS unit_id FROM (SELECT source, lower(regexp_extract(text, '[\\p{L}\\p{N}_]+')) AS n FROM documents) WHERE regexp_matches(n, '^[a-z]+$')""")
+@BOOK.add("""SELECT DISTINCT translate(n, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS asked, source || '::' || n AS unit_id FROM (SELECT source, lower(regexp_extract(text, '[\\p{L}\\p{N}_]+')) AS n FROM documents) WHERE n <> '' AND source IS NOT NULL""")
 def symbol_definitions(spark, sf_dir):
-    """Definers of every name, asked for in upper case."""
+    """Definers of every name, asked for in upper case (A-Z only, as the lookup has it)."""
     defs = definitions(spark, sf_dir)
-    asked = defs.where("kind = 'symbol'").where(F.col("name").rlike("^[a-z]+$")).select(F.upper("name").alias("name"))
+    asked = defs.where("kind = 'symbol'").where("name <> ''").select(F.translate("name", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("name"))
     return lookups.symbol_definitions(defs, asked)
 
 
