@@ -70,6 +70,10 @@ class WordIds:
         )
         self.ids: dict[bytes, bytes] = {}
         self.signs: dict[bytes, bytes] = {}
+        self.latin = None
+        latin = [c for c in map(chr, range(0xC0, 0x250)) if self.apart and self.letters(f"a{c}{c}b".encode())]
+        #: Words of these letters stay letters: precomposed ones, which no letter after them changes.
+        self.latin = re.compile(f"[a-z{''.join(latin)}]+")
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,6 +86,8 @@ class WordIds:
         if core.isascii():
             return True
         text = core.decode("utf-8", "replace")
+        if self.latin and self.latin.fullmatch(text):
+            return True
         if text.isalpha():
             normal = self.tokenizer.normalizer.normalize_str(text)
             return [a for _, a in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal + "?")] == [(0, len(normal)), (len(normal), len(normal) + 1)]
