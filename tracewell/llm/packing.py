@@ -112,9 +112,10 @@ class WordIds:
         ids, signs = self.ids, self.signs
         if len(ids) > REMEMBERED:
             ids.clear()
-        apart, rest = [], []
-        for w in words:
-            if w in ids:
+        apart, rest, whole = [], [], []
+        for w in words.difference(ids):
+            if (w.isalpha() and w.islower()) or not w.isascii() and self.latin.fullmatch(w.decode("utf-8", "replace")):
+                whole.append(w)
                 continue
             m = LETTERS_THEN_SIGNS.fullmatch(w)
             if m and self.letters(core := m[1].lower()):
@@ -127,7 +128,7 @@ class WordIds:
                 rest.append(w)
         if rest:
             ids.update(zip(rest, self.encode(rest)))
-        cores = list({core for _, core, _ in apart if core not in ids})
+        cores = list({core for _, core, _ in apart if core not in ids}.union(whole))
         ids.update(zip(cores, self.encode_cores(cores)))
         ids.update([(w, ids[core] + tail) for w, core, tail in apart])
 
