@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.counting import text_sizes
+from ..functions.shared import written
 from ..operators import ranking
 from ..plans.search import Index, text_scores
 from ..schemas import LIMITS, RANK_DIGITS, TABLES, TEST_FILES
@@ -19,27 +21,28 @@ def code_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.lit("code").alias("field"), "term", "doc", "tf")
 
 
-def path_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(field, term, doc, tf) of the documents' source and language."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.concat_ws(" ", "source", "lang").alias("path_words"))
-    return ranking.term_counts(docs, ["doc"], "path_words", stems=False).select(F.lit("path").alias("field"), "term", "doc", "tf")
-
-
 def all_docs(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.lit(field).alias("field"), F.col("doc_id").alias("doc"))
 
 
 def item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, term, qw) of the benchmark's items."""
-    return ranking.weighted_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), stems=False)
+    return written(ranking.weighted_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), stems=False), "items")
+
 
+def code_matched(spark: SparkSession, sf_dir: str, terms: DataFrame) -> DataFrame:
+    """What the documents' texts hold of the items' terms."""
+    return ranking.matched(table(spark, sf_dir, "documents"), terms, "doc_id", "text")
 
-def code_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def code_bits(spark: SparkSession, sf_dir: str, scope: DataFrame | None = None) -> DataFrame:
     """(qid, doc, score) of every item and every document that shares a term with it."""
-    postings = code_postings(spark, sf_dir)
-    docs = ranking.lengths(postings, all_docs(spark, sf_dir, "code"), ["field", "doc"])
-    bits = ranking.field_bits(item_terms(spark, sf_dir), postings, docs, ranking.field_totals(docs))
-    return bits.select("qid", "doc", F.col("bits").alias("score"))
+    terms = item_terms(spark, sf_dir)
+    return bits_of(terms, code_matched(spark, sf_dir, terms), scope)
+
+
+def bits_of(terms: DataFrame, met: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    return ranking.matched_bits(terms, met, scope=scope).select("qid", "doc", F.col("bits").alias("score"))
 
 
 #: Common tables in SQL: postings p, lengths d, totals s, query weights q, bits b.
@@ -66,7 +69,8 @@ def postings(spark, sf_dir):
 @BOOK.add(f"WITH {SQL_POSTINGS} SELECT * FROM d")
 def field_docs(spark, sf_dir):
     """Lengths of all documents in the code field, 0 for those without terms."""
-    return ranking.lengths(code_postings(spark, sf_dir), all_docs(spark, sf_dir, "code"), ["field", "doc"])
+    sizes = text_sizes(ranking.spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")), ["doc"], "text")
+    return ranking.lengths(sizes.select(F.lit("code").alias("field"), "doc", F.col("len").alias("tf")), all_docs(spark, sf_dir, "code"), ["field", "doc"])
 
 
 @BOOK.add(f"WITH {SQL_POSTINGS} SELECT field, n, total FROM s")
@@ -100,9 +104,10 @@ s AS (SELECT field, count(*) AS n, sum(len) AS total FROM d GROUP BY field), {SQ
 @BOOK.add(f"{SQL_FIELDS} SELECT qid, doc, {near('sum(bits)')} AS score, count(*) AS n_fields FROM b GROUP BY qid, doc")
 def dph_field_sum(spark, sf_dir):
     """Bits summed over the code and path fields, each with its own statistics."""
-    both = code_postings(spark, sf_dir).unionByName(path_postings(spark, sf_dir))
-    docs = ranking.lengths(both, all_docs(spark, sf_dir, "code").unionByName(all_docs(spark, sf_dir, "path")), ["field", "doc"])
-    bits = ranking.field_bits(item_terms(spark, sf_dir), both, docs, ranking.field_totals(docs))
+    terms = item_terms(spark, sf_dir)
+    paths = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "source", "lang").alias("path_words"))
+    both = code_matched(spark, sf_dir, terms).unionByName(ranking.matched(paths, terms, "doc_id", "path_words", "path"))
+    bits = ranking.matched_bits(terms, both)
     return rounded(bits.groupBy("qid", "doc").agg(F.sum("bits").alias("score"), F.count(F.lit(1)).alias("n_fields")), 6, "score")
 
 
@@ -110,7 +115,7 @@ def dph_field_sum(spark, sf_dir):
 def dph_scoped(spark, sf_dir):
     """The five best documents of every item in a scope; statistics are still those of the whole collection."""
     scope = table(spark, sf_dir, "documents").where(F.col("source").startswith("src1")).select(F.col("doc_id").alias("doc"))
-    return rounded(ranking.top_k(code_bits(spark, sf_dir).join(scope, "doc", "left_semi"), 5, by=["qid"]), 6, "score")
+    return rounded(ranking.top_k(code_bits(spark, sf_dir, scope), 5, by=["qid"]), 6, "score")
 
 
 @BOOK.add(f"""{SQL_CODE}, ranked AS (SELECT z.*, coalesce(quality = 0, false) AS is_test FROM (SELECT qid, doc, bits AS score FROM b) z LEFT JOIN labels ON doc = doc_id),
@@ -131,8 +136,8 @@ def test_partition_top3(spark, sf_dir):
 @BOOK.add(f"WITH {SQL_POSTINGS} SELECT p.term, p.doc, p.tf, d.len FROM p JOIN d ON p.doc = d.doc JOIN (SELECT DISTINCT unnest({sql_terms('text')}) AS term FROM benchmark) b ON b.term = p.term")
 def term_postings(spark, sf_dir):
     """Postings of all benchmark terms, with the documents' lengths."""
-    wanted = ranking.term_counts(table(spark, sf_dir, "benchmark"), [], "text", stems=False).select("term")
-    return code_postings(spark, sf_dir).join(wanted, "term", "left_semi").join(field_docs(spark, sf_dir).drop("field"), "doc").select("term", "doc", "tf", "len")
+    met = code_matched(spark, sf_dir, item_terms(spark, sf_dir)).where("term is not null")
+    return met.select("term", "doc", "tf", "len", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
 
 
 # Conversations are files, their turns leaves, and the words of a file's first turn are its tests field.

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.counting import term_rows
+from ..functions.shared import written
 from ..functions.stemmer import add_stems
-from ..functions.text import dph, first_line, tokenize_raw
+from ..functions.text import dph, first_line
 from ..schemas import RANK_DIGITS, TITLE_BOOST
 
 
@@ -29,7 +31,7 @@ def spread(rows: DataFrame) -> DataFrame:
 
 def term_counts(texts: DataFrame, key: list[str], text: str, stems: bool = True) -> DataFrame:
     """(*key, term, tf) of the tokens of a text column; ``stems`` counts each for its stem too."""
-    raw = spread(texts.select(*key, text)).select(*key, F.explode(tokenize_raw(F.col(text))).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    raw = term_rows(spread(texts.select(*key, text)), key, text).groupBy(*key, "term").agg(F.sum("tf").alias("tf"))
     return add_stems(raw) if stems else raw
 
 
@@ -53,6 +55,48 @@ def weighted_terms(queries: DataFrame, qid: str = "qid", text: str = "text", ste
     return counts.join(title, [qid, "term"], "left").select(qid, "term", ((1 + F.log("tf")) * boost).alias("qw"))
 
 
+#: What is scored by document is dealt to so many partitions that each has at most about so many scores.
+SCORES = 1 << 21
+
+
+def matched(texts: DataFrame, terms: DataFrame, key: str, text: str, field: str = "code") -> DataFrame:
+    """(field, doc, copies, len, term, tf) of the terms(term) that the texts hold, and a row without a term for each text.
+
+    Texts are cut once, and what is matched is written. len counts all tokens of a document, and copies the texts that have
+    its key; without a key a text has neither length nor terms.
+    """
+    wanted = written(terms.select("term").distinct(), "terms").withColumn("wanted", F.lit(True))
+    rows = term_rows(spread(texts.select(F.col(key).alias("doc"), text)), ["doc"], text, sizes=True).join(wanted, "term", "left")
+    rows = rows.where((F.col("wanted") & F.col("doc").isNotNull()) | F.col("term").isNull())
+    size = F.when(F.col("doc").isNull(), 0.0).otherwise(F.col("len")).alias("len")
+    rows = written(rows.select(F.lit(field).alias("field"), "doc", F.lit(1).cast("long").alias("copies"), size, "term", "tf"), "matched")
+    docs = rows.where("term is null and doc is not null").groupBy("field", "doc").agg(F.sum("copies").alias("copies"), F.sum("len").alias("len"))
+    if docs.where("copies > 1").isEmpty():
+        return rows
+    once = rows.where("term is not null").groupBy("field", "doc", "term").agg(F.sum("tf").alias("tf")).join(docs, ["field", "doc"])
+    each = docs.withColumn("term", F.lit(None).cast("string")).withColumn("tf", F.lit(0.0)).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return written(once.select(rows.columns).unionByName(each.select(rows.columns)).unionByName(rows.where("doc is null")), "matched")
+
+
+def dealt(met: DataFrame, terms: DataFrame, qid: str = "qid") -> DataFrame:
+    """The rows of ``matched`` that have a term, dealt by document: what is grouped by query and document then stays where it is."""
+    scores = met.where("term is null").count() * terms.select(qid).distinct().count()
+    parts = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-scores // SCORES))
+    return met.where("term is not null").repartition(parts, "doc")
+
+
+def matched_bits(terms: DataFrame, met: DataFrame, qid: str = "qid", scope: DataFrame | None = None) -> DataFrame:
+    """``field_bits`` of the rows of ``matched``. A scope(doc) leaves out documents, and no statistics."""
+    totals = field_totals(met.where("term is null")).where("n > 0 and total > 0")
+    stats = met.where("term is not null").groupBy("field", "term").agg(F.sum(F.col("tf") * F.col("copies")).alias("cf"))
+    rated = written(terms.join(stats, "term").select(qid, "field", "term", "qw", "cf"), "rated")
+    rows = dealt(met, terms, qid)
+    rows = rows if scope is None else rows.join(scope, "doc", "left_semi")
+    scored = rows.join(rated, ["field", "term"]).join(F.broadcast(written(totals, "totals")), "field")  # a row per field: a handful
+    bits = dph(F.col("tf"), F.col("len"), F.col("total") / F.col("n"), F.col("n"), F.col("cf"))
+    return scored.groupBy(qid, "field", "doc").agg(F.sum(F.col("qw") * bits * F.col("copies")).alias("bits"))
+
+
 def field_bits(terms: DataFrame, postings: DataFrame, docs: DataFrame, totals: DataFrame, qid: str = "qid") -> DataFrame:
     """(qid, field, doc, bits): the sum over a query's terms of weight times DPH.
 
