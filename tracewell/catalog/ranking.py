@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.counting import text_sizes
 from ..functions.shared import written
-from ..operators import ranking
+from ..operators import ranking, scoring
 from ..plans.search import Index, text_scores
-from ..schemas import LIMITS, RANK_DIGITS, TABLES, TEST_FILES
+from ..schemas import LIMITS, RANK_CAP, RANK_DIGITS, TABLES, TEST_FILES
 from .common import Book, near, rounded, sql_dph, sql_terms, table
 
 BOOK = Book()
@@ -35,14 +37,40 @@ def code_matched(spark: SparkSession, sf_dir: str, terms: DataFrame) -> DataFram
     return ranking.matched(table(spark, sf_dir, "documents"), terms, "doc_id", "text")
 
 
-def code_bits(spark: SparkSession, sf_dir: str, scope: DataFrame | None = None) -> DataFrame:
+class Search:
+    """The items against the documents, in the code field and, if asked, the path field: by a held batch, or by joins where it is too large."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, paths: bool = False) -> None:
+        self.terms = item_terms(spark, sf_dir)
+        self.qid = self.terms.schema["qid"].dataType
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(" ", "source", "lang").alias("path_words"))
+        batch = scoring.batch(self.terms)
+        self.held = batch and scoring.cut_texts(docs, "doc_id", ["text", "path_words"] if paths else ["text"], batch)
+        if not self.held:
+            self.met = code_matched(spark, sf_dir, self.terms)
+            if paths:
+                self.met = self.met.unionByName(ranking.matched(docs, self.terms, "doc_id", "path_words", "path"))
+
+    def scores(self, best: int | None = None, scope: DataFrame | None = None) -> DataFrame:
+        """(qid, doc, score, n_fields) of every item and every document that shares a term with it; with ``best`` at least of that many of each item."""
+        if self.held:
+            at = self.held if scope is None else replace(self.held, rows=self.held.rows.join(scope, "doc", "left_semi"))
+            return scoring.scores(at, self.qid, best)
+        return ranking.matched_bits(self.terms, self.met, scope=scope).groupBy("qid", "doc").agg(F.sum("bits").alias("score"), F.count(F.lit(1)).alias("n_fields"))
+
+    def hits(self, best: int | None = None, whole: bool = False) -> DataFrame:
+        """(qid, doc, n_hits, n_terms) by the code field; ``whole`` asks for documents that have all terms of an item."""
+        if self.held:
+            return scoring.hits(self.held, self.qid, best, whole)
+        asked = written(self.terms.join(self.terms.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid").select("qid", "term", "n"), "asked")
+        met = ranking.dealt(self.met.where("field = 'code'"), self.terms).select("term", "doc", "tf").join(asked, "term")
+        rows = met.groupBy("qid", "n", "doc").agg(F.sum("tf").alias("n_hits"), F.count(F.lit(1)).alias("n_terms"))
+        return (rows.where("n_terms = n") if whole else rows).select("qid", "doc", "n_hits", "n_terms")
+
+
+def code_bits(spark: SparkSession, sf_dir: str, best: int | None = None, scope: DataFrame | None = None) -> DataFrame:
     """(qid, doc, score) of every item and every document that shares a term with it."""
-    terms = item_terms(spark, sf_dir)
-    return bits_of(terms, code_matched(spark, sf_dir, terms), scope)
-
-
-def bits_of(terms: DataFrame, met: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    return ranking.matched_bits(terms, met, scope=scope).select("qid", "doc", F.col("bits").alias("score"))
+    return Search(spark, sf_dir).scores(best, scope).select("qid", "doc", "score")
 
 
 #: Common tables in SQL: postings p, lengths d, totals s, query weights q, bits b.
@@ -92,7 +120,7 @@ def sql_top(source: str, k: int, by: str = "qid") -> str:
 @BOOK.add(f"{SQL_CODE} SELECT qid, doc, {near('score')} AS score, rank FROM {sql_top('(SELECT qid, doc, bits AS score FROM b) z', 10)}")
 def dph_topk(spark, sf_dir):
     """The ten best documents of every item."""
-    return rounded(ranking.top_k(code_bits(spark, sf_dir), 10, by=["qid"]), 6, "score")
+    return rounded(ranking.top_k(code_bits(spark, sf_dir, 10), 10, by=["qid"]), 6, "score")
 
 
 SQL_FIELDS = f"""WITH t AS (SELECT 'code' AS field, doc_id AS doc, unnest({sql_terms('text')}) AS term FROM documents UNION ALL SELECT 'path', doc_id, unnest({sql_terms("concat_ws(' ', source, lang)")}) FROM documents),
@@ -104,18 +132,14 @@ s AS (SELECT field, count(*) AS n, sum(len) AS total FROM d GROUP BY field), {SQ
 @BOOK.add(f"{SQL_FIELDS} SELECT qid, doc, {near('sum(bits)')} AS score, count(*) AS n_fields FROM b GROUP BY qid, doc")
 def dph_field_sum(spark, sf_dir):
     """Bits summed over the code and path fields, each with its own statistics."""
-    terms = item_terms(spark, sf_dir)
-    paths = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "source", "lang").alias("path_words"))
-    both = code_matched(spark, sf_dir, terms).unionByName(ranking.matched(paths, terms, "doc_id", "path_words", "path"))
-    bits = ranking.matched_bits(terms, both)
-    return rounded(bits.groupBy("qid", "doc").agg(F.sum("bits").alias("score"), F.count(F.lit(1)).alias("n_fields")), 6, "score")
+    return rounded(Search(spark, sf_dir, paths=True).scores(), 6, "score")
 
 
 @BOOK.add(f"{SQL_CODE} SELECT qid, doc, {near('score')} AS score, rank FROM {sql_top("(SELECT qid, doc, bits AS score FROM b JOIN documents ON doc = doc_id WHERE starts_with(source, 'src1')) z", 5)}")
 def dph_scoped(spark, sf_dir):
     """The five best documents of every item in a scope; statistics are still those of the whole collection."""
     scope = table(spark, sf_dir, "documents").where(F.col("source").startswith("src1")).select(F.col("doc_id").alias("doc"))
-    return rounded(ranking.top_k(code_bits(spark, sf_dir, scope), 5, by=["qid"]), 6, "score")
+    return rounded(ranking.top_k(code_bits(spark, sf_dir, 5, scope), 5, by=["qid"]), 6, "score")
 
 
 @BOOK.add(f"""{SQL_CODE}, ranked AS (SELECT z.*, coalesce(quality = 0, false) AS is_test FROM (SELECT qid, doc, bits AS score FROM b) z LEFT JOIN labels ON doc = doc_id),
@@ -128,7 +152,7 @@ def test_partition_top3(spark, sf_dir):
     from ..operators.cascade import ranked
 
     low = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("doc"))
-    best = ranked(code_bits(spark, sf_dir))
+    best = ranked(code_bits(spark, sf_dir, RANK_CAP))
     tests = best.join(low, "doc", "left_semi").where("score > 0").withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
     return rounded(tests.where("at <= 3").select("qid", "doc", "score", F.col("at").alias("rank")), 6, "score")
 

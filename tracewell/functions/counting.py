@@ -40,7 +40,7 @@ def _tables(codec: str) -> tuple[bytes, bytes]:
     return bytes(kinds), bytes(lows)
 
 
-_CODECS = {codec: _tables(codec) for codec in ("latin-1", "cp1252")}
+CODECS = {codec: _tables(codec) for codec in ("latin-1", "cp1252")}
 
 
 def latin_terms(word: str) -> list[str]:
@@ -60,7 +60,7 @@ def outside(text: str) -> bool:
 
 def latin_counts(text: str) -> tuple[str, dict]:
     """(codec, counts): the terms of a text of Latin letters with their occurrences, in bytes of the codec. Single letters may be among them."""
-    for codec, (kinds, lows) in _CODECS.items():
+    for codec, (kinds, lows) in CODECS.items():
         try:
             raw = text.encode(codec)
         except UnicodeEncodeError:
@@ -102,7 +102,7 @@ def _counter(key: list[str], text: str, sizes: bool, terms: bool, schema: pa.Sch
                 batch = whole.slice(at, ROWS)
                 if not number or len(names) > KEPT:
                     names, known = [], pa.array([], pa.string())
-                    number = {codec: _Numbers(codec, names).__getitem__ for codec in (*_CODECS, "utf-8")}
+                    number = {codec: _Numbers(codec, names).__getitem__ for codec in (*CODECS, "utf-8")}
                 texts = batch.column(text).to_pylist()
                 found = [latin_counts(t) if t and not outside(t) else ("utf-8", {}) for t in texts]
                 ids = np.fromiter(chain.from_iterable(map(number[codec], c) for codec, c in found), np.int64)

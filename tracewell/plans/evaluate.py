@@ -46,6 +46,11 @@ def grep_read(terms: DataFrame, postings: DataFrame, cost: DataFrame, files: int
     terms(qid, term), postings(term, doc, tf), cost(doc, tokens); the first ``files`` are read whole.
     """
     met = terms.select("qid", "term").distinct().join(postings, "term").groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_hits"))
+    return read_most(met, cost, files)
+
+
+def read_most(met: DataFrame, cost: DataFrame, files: int) -> DataFrame:
+    """The same of met(qid, doc, n_terms, n_hits)."""
     w = Window.partitionBy("qid").orderBy(F.desc("n_terms"), F.desc("n_hits"), "doc")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= files).join(cost, "doc").select("qid", "doc", "rank", "n_terms", "n_hits", "tokens")
 
