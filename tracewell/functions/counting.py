@@ -85,7 +85,7 @@ class _Numbers(dict):
 
     def __missing__(self, term: bytes) -> int:
         name = term.decode(self.codec)
-        if len(name) < 2:
+        if len(name) < 2 and self.codec in CODECS:
             self[term] = -1
             return -1
         n = self[term] = len(self.names)
@@ -93,6 +93,14 @@ class _Numbers(dict):
         return n
 
 
+class _Places(dict):
+    """Numbers of values, given as they are met."""
+
+    def __missing__(self, value) -> int:
+        n = self[value] = len(self)
+        return n
+
+
 def _counter(key: list[str], text: str, sizes: bool, terms: bool, schema: pa.Schema):
     def count(batches):
         names: list[str] = []
@@ -163,3 +171,62 @@ def _rows(texts: DataFrame, key: list[str], text: str, sizes: bool, terms: bool)
     slow = slow.select(*key, "_text", F.size("_terms").cast("double").alias("len"), F.explode(each).alias("term"))
     slow = slow.groupBy(*key, "_text", "len", "term").agg(F.sum(F.col("term").isNotNull().cast("double")).alias("tf"))
     return fast.unionByName(slow.select(fast.columns))
+
+
+#: Products of a worker that are summed at once, and sums that it holds.
+PRODUCTS, SUMS = 1 << 22, 1 << 20
+
+
+def _sharer(batches):
+    names: list[str] = []
+    number = {codec: _Numbers(codec, names).__getitem__ for codec in (*CODECS, "utf-8")}
+    files = _Places()
+    keys, values, n = [], [], 0
+
+    def summed():
+        at, where = np.unique(np.concatenate(keys), return_inverse=True)
+        return at, np.bincount(where, np.concatenate(values), len(at))
+
+    def rows(at, total):
+        file, term = pa.array(list(files), pa.string()), pa.array(names, pa.string())
+        return pa.RecordBatch.from_arrays([file.take(pa.array(at >> 32)), term.take(pa.array(at & 0xFFFFFFFF)), pa.array(total)], names=["file", "term", "tf"])
+
+    for part in batches:
+        for words, shares in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            if isinstance(words, str):
+                if outside(words):
+                    continue
+                codec, counts = latin_counts(words)
+            else:
+                codec, counts = "utf-8", Counter(w.encode() for w in words)
+            ids = np.fromiter(map(number[codec], counts), np.int64, len(counts))
+            tf = np.fromiter(counts.values(), np.float64, len(counts))
+            if codec != "utf-8":
+                ids, tf = ids[ids >= 0], tf[ids >= 0]
+            to = np.fromiter((files[x["file"]] for x in shares), np.int64, len(shares))
+            w = np.fromiter((x["w"] for x in shares), np.float64, len(shares))
+            keys.append(((to << 32)[:, None] | ids[None, :]).ravel())
+            values.append((w[:, None] * tf[None, :]).ravel())
+            n += len(keys[-1])
+            if n >= PRODUCTS:
+                at, total = summed()
+                keys, values, n = [at], [total], 0
+                if len(at) > SUMS:
+                    yield rows(at, total)
+                    keys, values, names, files = [], [], [], _Places()
+                    number = {codec: _Numbers(codec, names).__getitem__ for codec in (*CODECS, "utf-8")}
+    if keys:
+        yield rows(*summed())
+
+
+def _other_lines(batches):
+    for part in batches:
+        yield part.filter(pa.array([bool(w) and outside(w) for w in part.column(0).to_pylist()], pa.bool_()))
+
+
+def shared_terms(lines: DataFrame) -> DataFrame:
+    """(file, term, tf) of lines(words, shares): each file's share of a line, times the line's terms; in parts that add up to tf."""
+    rows = lines.where("words is not null").select("words", "shares")
+    schema = "file string, term string, tf double"
+    others = rows.mapInArrow(_other_lines, rows.schema).select(tokenize_raw(F.col("words")).alias("words"), "shares")
+    return rows.mapInArrow(_sharer, schema).unionByName(others.mapInArrow(_sharer, schema))

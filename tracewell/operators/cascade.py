@@ -12,7 +12,7 @@ def scaled_union(parts: DataFrame, weights: DataFrame, raw_ops: tuple[str, ...]
     """(qid, doc, score, via) of parts(qid, op, doc, score) and the plan's weights(qid, op, weight).
 
     An operator that is a query's only one and gives bits counts as it is; any other is scaled by its largest
-    score, and left out where that is not above 0. via lists contributions of 0.005 or more; those of an operator with
+    score, and left out where that is not above 0. via lists contributions of 0.005 or more, to nine decimals; those of an operator with
     ``details`` (qid, op, part, doc, score) are listed by part.
     """
     alone = weights.withColumn("alone", (F.count(F.lit(1)).over(Window.partitionBy(qid)) == 1) & F.col("op").isin(*raw_ops))
@@ -23,7 +23,7 @@ def scaled_union(parts: DataFrame, weights: DataFrame, raw_ops: tuple[str, ...]
         given = given.unionByName(details.select(qid, "op", "doc", "score", "part"))
     c = given.join(scale, [qid, "op"]).withColumn("c", F.col("score") * F.col("scale"))
     detailed = F.lit(False) if details is None else F.col("op").isin(*[r.op for r in details.select("op").distinct().collect()])  # operators: a handful
-    listed = (F.col("c") >= VIA_LEAST) & (F.col("part").isNotNull() | ~detailed)
+    listed = (F.round("c", RANK_DIGITS) >= VIA_LEAST) & (F.col("part").isNotNull() | ~detailed)
     via = F.array_sort(F.collect_list(F.when(listed, F.struct(F.coalesce("part", "op").alias("op"), F.col("c").alias("contribution")))))
     out = c.groupBy(qid, "doc").agg(F.sum(F.when(F.col("part").isNull(), F.col("c"))).alias("score"), via.alias("via"))
     return out.where("score is not null")

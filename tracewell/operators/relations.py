@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.counting import shared_terms
 from ..functions.text import is_test, jaccard, lines, tokenize_raw
 from ..functions.stemmer import stem_vocabulary
 from ..schemas import BRIDGE_CAP, JACCARD_LEAST, MAX_SET, ORDINAL_KINDS, SUPPORT, TAU_DAYS
@@ -46,10 +47,12 @@ def tests_field(definitions: DataFrame, mentions: DataFrame, units: DataFrame, f
     used = mentions.where(F.col("kind").isin("call", "method", "import", "type") & is_test(F.col("unit_id"), F.col("path")))
     used = used.select("unit_id", "line", F.substring_index("name", "::", -1).alias("name")).distinct()
     leaf = units.where("is_leaf").select(F.col("id").alias("unit_id"), "label", "text", "start_line")
-    said = used.join(leaf, "unit_id").select("unit_id", "line", "name", F.concat_ws("\n", F.coalesce(F.get(lines(F.col("text")), F.col("line") - F.col("start_line")), F.lit("")), "label").alias("words"))
-    met = said.join(shares, "name").join(definers, "name").where("definer <> unit_id")
-    pooled = met.groupBy("file", "unit_id", "line", "words").agg(F.sum(1.0 / F.col("m")).alias("w"))  # a line's words are cut once a file
-    tf = pooled.select("file", "w", F.explode(tokenize_raw(F.col("words"))).alias("term")).groupBy("file", "term").agg(F.sum("w").alias("tf"))
+    met = used.join(definers.join(shares, "name"), "name").where("definer <> unit_id")
+    pooled = met.groupBy("unit_id", "line", "file").agg(F.sum(1.0 / F.col("m")).alias("w"))
+    pooled = pooled.groupBy("unit_id", "line").agg(F.collect_list(F.struct("file", "w")).alias("shares"))  # at most the files that define a line's names
+    text = F.coalesce(F.get(lines(F.col("text")), F.col("line") - F.col("start_line")), F.lit(""))
+    said = pooled.join(leaf, "unit_id").select(F.concat_ws("\n", text, "label").alias("words"), "shares")  # words travel once a line, and are cut once
+    tf = shared_terms(said).groupBy("file", "term").agg(F.sum("tf").alias("tf"))
     if stems:
         extra = tf.join(stem_vocabulary(tf), "term").select("file", F.col("stem").alias("term"), "tf")
         tf = tf.select("file", "term", "tf").unionByName(extra.select("file", "term", "tf")).groupBy("file", "term").agg(F.sum("tf").alias("tf"))
