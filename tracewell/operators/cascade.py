@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from ..schemas import GAP_TIE, K_MAX, K_MIN, LIFT_LINES, LIFT_SIBLINGS, MASS, RANK_CAP, RANK_DIGITS, VIA_LEAST
 
 
+#: Bytes of hits, as Catalyst sizes them, that are sorted in one task.
+SORTED = 4 << 20
+#: Partitions at most: sizes of joins are bounds, and may be far above what is there.
+MOST = 4096
+
+
+def dealt(rows: DataFrame, like: DataFrame, key: str) -> DataFrame:
+    """The rows by their key, in as many partitions as the size of ``like`` asks for, so that a task sorts no more of a larger table."""
+    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // SORTED), MOST))
+    return rows.repartition(parts, key)
+
+
 def scaled_union(parts: DataFrame, weights: DataFrame, raw_ops: tuple[str, ...] = ("text",), qid: str = "qid", details: DataFrame | None = None) -> DataFrame:
     """(qid, doc, score, via) of parts(qid, op, doc, score) and the plan's weights(qid, op, weight).
 
@@ -48,7 +61,7 @@ def lift_siblings(hits: DataFrame, parents: DataFrame, k_max: int = K_MAX, sibli
     hits(qid, doc, score, rank); parents(doc, parent, span): span is the parent's number of lines.
     """
     w = Window.partitionBy(qid).orderBy("rank")
-    placed = hits.withColumn("pos", F.row_number().over(w)).join(parents, "doc", "left")
+    placed = dealt(hits.withColumn("pos", F.row_number().over(w)).join(parents, "doc", "left"), hits, qid)
     inside = F.col("pos") <= 2 * k_max
     group = Window.partitionBy(qid, "parent", inside)
     fits = F.col("parent").isNotNull() & inside & (F.col("span") <= max_lines)
