@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.counting import shared_terms
+from ..functions.shared import written
 from ..functions.text import is_test, jaccard, lines, tokenize_raw
 from ..functions.stemmer import stem_vocabulary
 from ..schemas import BRIDGE_CAP, JACCARD_LEAST, MAX_SET, ORDINAL_KINDS, SUPPORT, TAU_DAYS
 
+#: Origins of edges, in the order of their names.
+ORIGINS = ("bridge", "explicit", "global", "same_file")
+#: Edges are dealt by their source to so many partitions that each has about so many, however many there are.
+EDGES = 1 << 19
+
 
 def resolve(definitions: DataFrame, mentions: DataFrame, bridge_cap: int = BRIDGE_CAP) -> DataFrame:
     """(src, dst, kind, origin, weight, line): mentions joined with definitions by name, ambiguity split as mass.
@@ -19,7 +25,7 @@ def resolve(definitions: DataFrame, mentions: DataFrame, bridge_cap: int = BRIDG
     mention has is counted per (name, file) before anything is joined, so a name that is defined and mentioned
     very often costs its result and no more.
     """
-    defs = definitions.select("name", F.col("unit_id").alias("dst"), (F.col("kind") == "anchor").alias("anchor"), F.col("path").alias("dpath")).distinct()
+    defs = written(definitions.select("name", F.col("unit_id").alias("dst"), (F.col("kind") == "anchor").alias("anchor"), F.col("path").alias("dpath")).distinct(), "defs")
     per_file = defs.groupBy("name", "anchor", "dpath").agg(F.countDistinct("dst").alias("here"))
     everywhere = defs.groupBy("name", "anchor").agg(F.countDistinct("dst").alias("all"))
     m = mentions.select(F.col("unit_id").alias("src"), "name", "kind", "line", "path", (F.col("kind") == "link").alias("anchor"))
@@ -27,12 +33,16 @@ def resolve(definitions: DataFrame, mentions: DataFrame, bridge_cap: int = BRIDG
     own, bridge = (F.col("here") > 0) & ~F.col("kind").isin("link", "bridge"), F.col("kind") == "bridge"
     mass = F.when(bridge, F.col("all") - F.col("here")).when(own, F.col("here")).otherwise(F.col("all"))
     origin = F.when(F.col("kind") == "link", "explicit").when(bridge, "bridge").when(own, "same_file").otherwise("global")
-    m = m.withColumn("m", mass).withColumn("origin", origin).where((F.col("m") > 0) & (~bridge | (F.col("m") <= bridge_cap)))
+    m = written(m.withColumn("m", mass).withColumn("origin", origin).where((F.col("m") > 0) & (~bridge | (F.col("m") <= bridge_cap))), "mentions")
+    rows = m.agg(F.sum("m")).first()[0] or 0
     same = m.where("origin = 'same_file'").join(defs.withColumnRenamed("dpath", "path"), ["name", "anchor", "path"])
     other = m.where("origin <> 'same_file'").join(defs, ["name", "anchor"]).where(~bridge | (F.col("dpath") != F.col("path"))).drop("dpath")
     edges = same.select(sorted(same.columns)).unionByName(other).where("dst <> src")
     weight = 1.0 / (F.col("m") + F.when(F.col("kind") == "method", 1).otherwise(0))
-    return edges.groupBy("src", "dst", "kind").agg(F.min_by("origin", F.struct("line", "origin")).alias("origin"), F.sum(weight).alias("weight"), F.min("line").alias("line"))
+    first = F.coalesce(F.col("line").cast("long"), F.lit(-(1 << 31))) * len(ORIGINS) + F.array_position(F.array(*map(F.lit, ORIGINS)), F.col("origin")) - 1  # a number, so that sums are hashed and not sorted
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // EDGES))
+    grouped = edges.withColumn("first", first).withColumn("w", weight).repartition(parts, "src").groupBy("src", "dst", "kind").agg(F.min("first").alias("first"), F.sum("w").alias("weight"), F.min("line").alias("line"))
+    return grouped.select("src", "dst", "kind", F.get(F.array(*map(F.lit, ORIGINS)), F.pmod("first", F.lit(len(ORIGINS))).cast("int")).alias("origin"), "weight", "line")
 
 
 def tests_field(definitions: DataFrame, mentions: DataFrame, units: DataFrame, files: DataFrame, stems: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +160,7 @@ def neighbours(edges: DataFrame, anchors: DataFrame, outward: bool = True) -> Da
     here, there = ("src", "dst") if outward else ("dst", "src")
     met = edges.join(anchors, edges[here] == anchors["unit"]).select("anchor", F.col(there).alias("doc"), "weight")
     inside = anchors.select(F.col("anchor"), F.col("unit").alias("doc"))
-    return met.join(inside, ["anchor", "doc"], "left_anti").groupBy("anchor", "doc").agg(F.sum("weight").alias("score"))
+    return met.groupBy("anchor", "doc").agg(F.sum("weight").alias("score")).join(inside, ["anchor", "doc"], "left_anti")  # sums first: there are fewer
 
 
 def near_in_order(units: DataFrame, centres: DataFrame, inside: DataFrame, by: str, scale: float = 1.0) -> DataFrame:
