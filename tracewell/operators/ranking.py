@@ -1,6 +1,6 @@
 """Postings, collection statistics and DPH ranking, for one query or a batch of any size.
 
-Everything is relational: postings(field, term, doc, tf) and lengths(field, doc, len) on one side, weighted query
+Everything is relational (``scoring`` does the same for batches that executors can hold): postings(field, term, doc, tf) and lengths(field, doc, len) on one side, weighted query
 terms(qid, term, qw) on the other. Statistics of a term (cf) and a field (n, average length) are those
 of the whole collection; a scope filters documents only after they are computed.
 """
